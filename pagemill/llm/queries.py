@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import copies, garbled, leaks, lookalikes
+from pagemill.llm import copies, garbled, leaks, lookalikes, scans
 from pagemill.session import table
 
 
@@ -33,6 +33,18 @@ def p4_normal(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.normalised(table(spark, d, "regions").select("region_id", "text").distinct(), "text").select("region_id", "normal")
 
 
+def _scan(spark: SparkSession, d: str) -> scans.ScanNoise:
+    return scans.ScanNoise(table(spark, d, "regions"), table(spark, d, "mixed_result"), table(spark, d, "text_result"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scan(spark, d).found(table(spark, d, "mixed_result"))
+
+
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return _scan(spark, d).repaired()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 

@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import copies, garbled, leaks, lookalikes, scans
+from pagemill.llm import copies, cuts, garbled, leaks, lookalikes, mixing, scans
 from pagemill.session import table
 
 
+def _cuts(spark: SparkSession, d: str) -> DataFrame:
+    return cuts.scored(cuts.history_and_pages(table(spark, d, "history"), table(spark, d, "pages_result")))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return cuts.cut_records(_cuts(spark, d))
+
+
+def p2_shares(spark: SparkSession, d: str) -> DataFrame:
+    return cuts.cut_shares(_cuts(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.formatting_copies(table(spark, d, "history"))[1]
 
@@ -53,6 +65,14 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
     return leaks.without_leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items"))
 
 
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return garbled.garbled(table(spark, d, "documents"), keep_text=False).select("doc_id").distinct()
 

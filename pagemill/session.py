@@ -75,3 +75,14 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+
+
+def hash_sample(df: DataFrame, n: int, *columns: str) -> DataFrame:
+    """About n rows of df, the same ones on every run: those whose hash of the columns is small; never more than 2 n.
+
+    The share is set by a count, so a task passes on its part of the sample only, however many tasks there are.
+    """
+    total = df.count()
+    if total <= n:
+        return df
+    return df.where(F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) < int((1 << 40) * n / total)).limit(2 * n)

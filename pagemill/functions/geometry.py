@@ -18,7 +18,7 @@ ERASER_BASE = 24.0
 GUARD = 1e-12
 DOWNSCALE_BYTES, DOWNSCALE_SIDE = 500_000, 1920
 MAX_WARP = 4_000_000
-RAMP_TOP, WAIT_TOP = 85, 90
+RAMP_TOP, WAIT_TOP, WAIT_RATE = 85, 90, 70.0
 MIN_CROP = 10
 
 # EXIF orientation: degrees clockwise, and whether mirrored first.
@@ -74,8 +74,8 @@ def load_ramp(percent: Column) -> Column:
 
 
 def wait_percent(elapsed_ms: Column, expected_ms: Column) -> Column:
-    """Progress while waiting: elapsed over expected time, at most 90."""
-    return F.least(half_up(elapsed_ms * 100.0 / expected_ms), F.lit(WAIT_TOP)).cast("int")
+    """Progress while waiting: 70 at the expected time, at most 90."""
+    return F.least(half_up(elapsed_ms * WAIT_RATE / expected_ms), F.lit(WAIT_TOP)).cast("int")
 
 
 def downscaled(size: Column, w: Column, h: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.plans import logs
+from pagemill.plans import decoding, detection, logs, rasters, records, texts
 
-MODULES = [logs]
+MODULES = [detection, decoding, rasters, texts, records, logs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

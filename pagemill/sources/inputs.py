@@ -7,6 +7,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from pagemill.operators.decode import FALLBACK_VOCABULARY
 
@@ -83,7 +84,7 @@ def orientation_of(raw: bytes | None) -> int:
     return 1
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def exif_orientation(content: pd.Series) -> pd.Series:
     return content.map(orientation_of).astype("int32")
 

@@ -179,8 +179,14 @@ def test_job_stream(spark, tmp_path):
     schema = "job_id string, kind string, result string, at timestamp"
     pd.DataFrame({"job_id": ["a", "b", "a"], "kind": ["text", "text", None], "result": [None, None, "ok"], "at": pd.to_datetime(["2024-01-01"] * 3)}).astype({"at": "datetime64[us]"}).to_parquet(tmp_path / "in.parquet")
     stream = spark.readStream.schema(schema).parquet(str(tmp_path))
+    # Open timers ask for batches without data for ever; here the stream shall end with its input.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     q = S.job_results(stream).writeStream.outputMode("append").format("memory").queryName("jobs").trigger(availableNow=True).start()
-    q.awaitTermination()
+    try:
+        assert q.awaitTermination(60)
+    finally:
+        q.stop()
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     assert spark.sql("select job_id, status, result, kind from jobs").collect() == [("a", "done", "ok", "text")]
 
 

@@ -85,5 +85,11 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1].isdigit()}
 
 
+# The same passages in SQL: windows of 13 folded words of both sides, joined.
+_WINDOWS = """SELECT DISTINCT {id} AS id, array_to_string(w[k:k + 12], ' ') AS gram FROM (
+SELECT {id}, w, unnest(range(1, len(w) - 11)) AS k FROM (SELECT {id}, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table} WHERE text IS NOT NULL))"""
+_P6 = f"SELECT DISTINCT d.id AS doc_id, e.id AS item_id FROM ({_WINDOWS.format(id='doc_id', table='documents')}) d JOIN ({_WINDOWS.format(id='item_id', table='eval_items')}) e ON d.gram = e.gram"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p6_found": _P6}

@@ -148,14 +148,14 @@ def furniture(lines: DataFrame) -> DataFrame:
 
 
 def neighbours(body: DataFrame) -> DataFrame:
-    """body with next_text, the next line of the image, and after_split, whether the line before ends in a split."""
+    """body with next_text and next_rec, the next line of the image, and after_split, whether the line before ends in a split."""
     block = body.withColumn("block", F.floor(F.col("y") / BLOCK))
     w = Window.partitionBy("tbl", "img", "block").orderBy(*_ORDER)
     split = F.col("text").rlike(_SPLIT)
-    local = block.withColumn("in_block", F.lead("text").over(w)).withColumn("after_split", F.coalesce(F.lag(split).over(w), F.lit(False)))
+    local = block.withColumn("in_block", F.lead(F.struct("text", "rec")).over(w)).withColumn("after_split", F.coalesce(F.lag(split).over(w), F.lit(False)))
     heads = block.groupBy("tbl", "img", "block").agg(F.min(F.struct(*_ORDER, "text")).alias("head"))
-    heads = heads.select("tbl", "img", "block", F.lead("head.text").over(Window.partitionBy("tbl", "img").orderBy("block")).alias("later"))
-    return local.join(heads, ["tbl", "img", "block"], "left").withColumn("next_text", F.coalesce("in_block", "later")).drop("in_block", "later", "block")
+    heads = heads.select("tbl", "img", "block", F.lead(F.struct("head.text", "head.rec")).over(Window.partitionBy("tbl", "img").orderBy("block")).alias("later"))
+    return local.join(heads, ["tbl", "img", "block"], "left").withColumn("after", F.coalesce("in_block", "later")).withColumns({"next_text": F.col("after.text"), "next_rec": F.col("after.rec")}).drop("in_block", "later", "after", "block")
 
 
 def originals(word: str) -> set[tuple[str, int]]:
@@ -206,16 +206,16 @@ def decided_words(events: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return d.where(F.col("split") | F.col("original").isNotNull())
 
 
-def _events(body: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(words, pairs, compounds): single words of the lines, split words with both lines' words, compounds with a hyphen."""
-    near = neighbours(body).withColumn("a", F.nullif(F.regexp_extract("text", _SPLIT, 1), F.lit(""))).withColumn("b", F.nullif(F.regexp_extract(F.coalesce("next_text", F.lit("")), _HEAD, 1), F.lit("")))
+def _events(near: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(words, pairs, compounds): single words of the lines, split words with both lines' words, compounds with a hyphen. near: body lines with neighbours."""
+    near = near.withColumn("a", F.nullif(F.regexp_extract("text", _SPLIT, 1), F.lit(""))).withColumn("b", F.nullif(F.regexp_extract(F.coalesce("next_text", F.lit("")), _HEAD, 1), F.lit("")))
     near = near.withColumn("pair", F.coalesce(F.col("a").rlike(r"\p{L}$") & F.col("b").rlike(r"^[\p{L}\p{N}]"), F.lit(False)))
     words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     first = F.when(F.col("after_split"), 2).otherwise(1)
     inner = F.slice(words, first, F.greatest(F.size(words) - first + 1 - F.when(F.col("pair"), 1).otherwise(0), F.lit(0)))
     singles = near.select("tbl", "rec", "img", "y", "x", F.explode(inner).alias("a")).withColumn("b", F.lit(""))
-    pairs = near.where("pair").select("tbl", "rec", "img", "y", "x", "a", "b")
-    compounds = body.select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+-\p{L}+"), F.lit(0))).alias("a"))
+    pairs = near.where("pair").select("tbl", "rec", "img", "y", "x", "a", "b", "next_rec")
+    compounds = near.select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+-\p{L}+"), F.lit(0))).alias("a"))
     return singles, pairs, compounds
 
 
@@ -226,7 +226,10 @@ class ScanNoise:
         self.lines = written(lines_of(regions, mixed, texts), "scan-lines")
         self.furniture = written(furniture(self.lines), "scan-furniture")
         self.body = self.lines.where(~F.col("formula")).join(self.furniture.select("tbl", "rec", "y", "x").distinct(), ["tbl", "rec", "y", "x"], "left_anti")
-        singles, self.pairs, compounds = _events(self.body)
+        # Neighbours are found once; words, pairs and the next record all come from this table.
+        self.near = written(neighbours(self.body), "scan-near")
+        singles, pairs, compounds = _events(self.near)
+        self.pairs = written(pairs, "scan-pairs")
         self.headers = self.lines.join(self.furniture.where("noise = 'header'"), ["tbl", "rec", "y", "x"], "left_semi")
         loose = self.headers.select("tbl", "rec", "img", "y", "x", F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("a")).withColumn("b", F.lit(""))
         self.words = singles.unionByName(loose)
@@ -243,18 +246,9 @@ class ScanNoise:
         pair = self.pairs.join(self.decided.where("b <> ''"), ["a", "b"])
         split = pair.where("split").select("tbl", "rec", F.lit("hyphen").alias("noise"))
         first = pair.where("original is not null and at < length(a)").select("tbl", "rec", F.lit("misread").alias("noise"))
-        # A misreading in the second half belongs to the next line, found by the word that line begins with.
-        second = pair.where("original is not null and at >= length(a)").select("tbl", "img", "y", "x", "rec", "b")
-        if_next = self._next_record().join(second.select("tbl", F.col("rec")), ["tbl", "rec"], "left_semi").select("tbl", F.col("next_rec").alias("rec"), F.lit("misread").alias("noise"))
-        return misread.unionByName(split).unionByName(first).unionByName(if_next).distinct()
-
-    def _next_record(self) -> DataFrame:
-        """(tbl, rec, next_rec) of body lines."""
-        block = self.body.withColumn("block", F.floor(F.col("y") / BLOCK))
-        w = Window.partitionBy("tbl", "img", "block").orderBy(*_ORDER)
-        heads = block.groupBy("tbl", "img", "block").agg(F.min(F.struct(*_ORDER)).alias("head"))
-        heads = heads.select("tbl", "img", "block", F.lead("head.rec").over(Window.partitionBy("tbl", "img").orderBy("block")).alias("later"))
-        return block.withColumn("inner", F.lead("rec").over(w)).join(heads, ["tbl", "img", "block"], "left").select("tbl", "rec", F.coalesce("inner", "later").alias("next_rec")).where("next_rec is not null")
+        # A misreading in the second half belongs to the record of the next line.
+        second = pair.where("original is not null and at >= length(a)").select("tbl", F.col("next_rec").alias("rec"), F.lit("misread").alias("noise"))
+        return misread.unionByName(split).unionByName(first).unionByName(second).distinct()
 
     def found(self, mixed: DataFrame | None) -> DataFrame:
         """(tbl, rec_id, noise), one row per record and kind of noise; mixed_result has the kinds of its regions."""

@@ -18,7 +18,7 @@ ERASER_BASE = 24.0
 GUARD = 1e-12
 DOWNSCALE_BYTES, DOWNSCALE_SIDE = 500_000, 1920
 MAX_WARP = 4_000_000
-RAMP_TOP, WAIT_TOP, WAIT_RATE = 85, 90, 70.0
+RAMP_TOP, RAMP_SHARE, RAMP_LEAST, WAIT_TOP, WAIT_RATE = 85, 0.12, 0.5, 90, 70.0
 MIN_CROP = 10
 
 # EXIF orientation: degrees clockwise, and whether mirrored first.
@@ -68,9 +68,10 @@ def fit_scale(w: Column, h: Column, box_w: Column, box_h: Column) -> Column:
     return F.least(box_w / w, box_h / h)
 
 
-def load_ramp(percent: Column) -> Column:
-    """Progress while loading: up to 85, never below 0."""
-    return F.least(F.greatest(percent, F.lit(0)), F.lit(RAMP_TOP))
+def next_progress(percent: Column) -> Column:
+    """The next value of a bar that creeps towards 85: an eighth of the way or so, half a percent at least."""
+    step = F.greatest(F.lit(RAMP_LEAST), (F.lit(RAMP_TOP) - percent) * RAMP_SHARE)
+    return F.least(F.lit(float(RAMP_TOP)), percent + step)
 
 
 def wait_percent(elapsed_ms: Column, expected_ms: Column) -> Column:

@@ -13,14 +13,18 @@ from pyspark.sql import functions as F
 START, STOPS, MAX_STEPS = 2, (2, 0), 512
 BEAMS, KEPT, FIRST_K, LATER_K, FIRST_STEPS, LEAST_P = 3, 5, 10, 5, 3, 0.01
 FALLBACK_VOCABULARY = {0: "<pad>", 1: "<s>", 2: "</s>"}
-WORD_MARKS = "ĠĠ▁"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once: inside a lambda it would be computed for every element."""
+    return F.transform(F.array(value), use)[0]
 
 
 def softmax(a: Column) -> Column:
     """Probabilities of an array of scores, stable against large ones; an empty array stays empty."""
-    e = F.transform(a, lambda v: F.exp(v.cast("double") - F.array_max(a).cast("double")))
-    total = F.aggregate(e, F.lit(0.0), lambda s, v: s + v)
-    return F.transform(e, lambda v: v / total)
+    powers = _let(F.array_max(a).cast("double"), lambda top: F.transform(a, lambda v: F.exp(v.cast("double") - top)))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda s, v: s + v)
+    return _let(powers, lambda e: _let(total(e), lambda t: F.transform(e, lambda v: v / t)))
 
 
 def argmax(a: Column) -> Column:

@@ -246,9 +246,9 @@ def geo_downscale(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "sizes").select("img", F.inline(F.array(G.downscaled(F.col("size"), F.col("w"), F.col("h")))))
 
 
-@query(f"{ctes('sizes')} SELECT img, least(CAST(floor(size * CAST(70.0 AS DOUBLE) / 900000 + 0.5) AS INT), 90) AS percent, least(greatest(w - 100, 0), 85) AS ramp, round(least(360::DOUBLE / w, 640::DOUBLE / h), 6) AS fit FROM sizes")
+@query(f"{ctes('sizes')} SELECT img, least(CAST(floor(size * CAST(70.0 AS DOUBLE) / 900000 + 0.5) AS INT), 90) AS percent, round(least(85::DOUBLE, deg / 4 + greatest(0.5::DOUBLE, (85 - deg / 4) * 0.12::DOUBLE)), 6) AS ramp, round(least(360::DOUBLE / w, 640::DOUBLE / h), 6) AS fit FROM sizes")
 def geo_progress(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "sizes").select("img", G.wait_percent(F.col("size"), F.lit(900_000)).alias("percent"), G.load_ramp(F.col("w") - 100).alias("ramp"), F.round(G.fit_scale(F.col("w"), F.col("h"), F.lit(360), F.lit(640)), 6).alias("fit"))
+    return view(spark, d, "sizes").select("img", G.wait_percent(F.col("size"), F.lit(900_000)).alias("percent"), F.round(G.next_progress(F.col("deg") / 4), 6).alias("ramp"), F.round(G.fit_scale(F.col("w"), F.col("h"), F.lit(360), F.lit(640)), 6).alias("fit"))
 
 
 @query()

@@ -24,11 +24,10 @@ def ring(held: list[str], new: list[str], lines: int = LINES) -> list[str]:
 
 
 def drained(held: str, new: str, chars: int = CHARS) -> str:
-    """A character buffer after an addition: while it is too long, its oldest quarter is dropped."""
-    held += new
-    while len(held) > chars:
-        held = held[max(1, len(held) // DROPPED_PART) :]
-    return held
+    """A character buffer after an addition: if that would be too long, the oldest quarter of what is held goes first."""
+    if len(held) + len(new) > chars:
+        held = held[len(held) // DROPPED_PART :]
+    return held + new
 
 
 def _keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

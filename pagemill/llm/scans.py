@@ -102,6 +102,8 @@ def lines_of(regions: DataFrame | None, mixed: DataFrame | None, texts: DataFram
         t = texts.where("text is not null and img is not null").select("img", "text").distinct().select("img", F.posexplode(F.split("text", "\n")).alias("y", "text")).where("trim(text) <> ''")
         parts.append(t.select(F.lit("text_result").alias("tbl"), F.col("img").cast("bigint").alias("rec"), F.col("img").cast("bigint"), F.col("y").cast("bigint"), F.lit(0).cast("bigint").alias("x"), "text", F.lit(False).alias("formula"), F.lit(None).cast("bigint").alias("doc"), F.lit(None).cast("bigint").alias("page")))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    # A soft hyphen is invisible within a line, but at its end it splits a word.
+    out = out.withColumn("text", F.regexp_replace("text", "(?<=\\p{L})\u00ad(\\s*)$", "-$1"))
     return normalised(out, "text", "text", fold=False)
 
 

@@ -13,7 +13,7 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.session import written
@@ -145,13 +145,12 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = N
     marked = docs.withColumns({"full": full, "lo": lo, "hi": hi, "left": left})
     last = marked.where("key >= lo and key < hi")
     outer = marked.where("not (key >= lo and key < hi)").withColumn("more", F.when(F.col("key") < F.col("lo"), 1).otherwise(0))
-    from pyspark.sql import Window
-
     up_to = F.sum("tokens").over(Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     last = last.withColumn("sum", up_to).withColumn("more", F.when(F.col("sum") - F.col("tokens") / 2 <= F.col("left"), 1).otherwise(0)).drop("sum")
     chosen = outer.unionByName(last).withColumn("copies", (F.col("full") + F.col("more")).cast("int")).where("copies > 0").select("doc_id", "source", "tokens", "copies")
     used = chosen.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
     plan = documents.sparkSession.createDataFrame([(s, share) for s, share, _ in wanted], "source string, target_share double")
-    whole = used.agg(F.sum("tokens").alias("whole"))
-    shares = plan.join(used, "source", "left").join(F.broadcast(whole)).select("source", "target_share", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.round(F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)), 6).alias("actual_share"))
+    # One row per target source, MAX_SOURCES at most, so the sum over all may be one window.
+    whole = F.sum("tokens").over(Window.partitionBy())
+    shares = plan.join(used, "source", "left").withColumn("whole", whole).select("source", "target_share", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.round(F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)), 6).alias("actual_share"))
     return chosen, shares

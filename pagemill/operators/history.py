@@ -57,13 +57,15 @@ def current(records: DataFrame, ops: DataFrame) -> DataFrame:
     ops are few per id but may be many in all: they are folded per id by aggregation. clear rows (id null) drop what is
     not a favourite at their time; as that needs the toggles before, they split the log into eras by seq.
     """
-    clears = ops.where("op = 'clear'").agg(F.max("seq").alias("cleared"))
-    per = ops.where("op in ('toggle', 'delete')").join(F.broadcast(clears))
-    early = F.coalesce(F.col("seq") < F.col("cleared"), F.lit(False))
-    folded = per.groupBy("id").agg(F.count_if(F.col("op") == "delete").alias("deletes"), F.count_if((F.col("op") == "toggle") & early).alias("t0"), F.count_if(F.col("op") == "toggle").alias("t"))
-    state = records.join(folded, "id", "left").join(F.broadcast(clears))
+    cleared = ops.where("op = 'clear'").agg(F.max("seq")).first()[0]  # one number
+    early = F.lit(False) if cleared is None else F.col("seq") < cleared
+    changes = ops.where("op in ('toggle', 'delete')")
+    folded = changes.groupBy("id").agg(F.count_if(F.col("op") == "delete").alias("deletes"), F.count_if((F.col("op") == "toggle") & early).alias("t0"), F.count_if(F.col("op") == "toggle").alias("t"))
+    state = records.join(folded, "id", "left")
     turned = lambda n: F.coalesce("favorite", F.lit(False)) != (F.coalesce(n, F.lit(0)) % 2 == 1)
-    alive = (F.coalesce("deletes", F.lit(0)) == 0) & (F.col("cleared").isNull() | turned(F.col("t0")))
+    alive = F.coalesce("deletes", F.lit(0)) == 0
+    if cleared is not None:
+        alive = alive & turned(F.col("t0"))
     return state.where(alive).withColumn("favorite", turned(F.col("t"))).select(*records.columns)
 
 

@@ -14,6 +14,7 @@ from pagemill.functions import text as T
 from pagemill.operators import decode as D
 from pagemill.operators import history as H
 from pagemill.operators import rasters as R
+from pagemill.plans import texts
 from pagemill.sources import inputs as I
 from pagemill.streaming import buffers as S
 
@@ -162,6 +163,19 @@ def test_small_strings(spark):
     assert one(T.read_int(F.lit(bytearray(b"\x01\x02")), 0, 2, True)) == 513
 
 
+def test_guard_covers_whole_values(spark, tmp_path):
+    def brute(t):
+        return "" if len(t) > 20 and any(t[: 3 * n] == t[:n] * 3 for n in range(3, len(t) // 3 + 1)) else t
+
+    rng = random.Random(4)
+    unit = lambda n: "".join(rng.choice("ab{}") for _ in range(n))
+    rows = [(k, unit(k % 45) * (k % 5) + unit(k % 7)) for k in range(400)] + [(3000, None), (3001, "x" * 70), (3002, "abc" * 6 + "ab"), (3003, "\\frac{a}{b}+\\sqrt{c}-dd" * 4)]
+    spark.createDataFrame(rows, "id bigint, latex string").write.parquet(str(tmp_path / "history.parquet"))
+    got = dict(texts.str_guarded_whole(spark, str(tmp_path)).collect())
+    assert got == {k: brute(t) for k, t in rows if t is not None}
+    assert got[3003] == "" and max(map(len, got.values())) > 60
+
+
 def test_exif():
     entry = b"\x01\x12\x00\x03\x00\x00\x00\x01\x00\x06\x00\x00"
     tiff = b"MM\x00*\x00\x00\x00\x08\x00\x01" + entry

@@ -42,7 +42,10 @@ def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_normal(spark: SparkSession, d: str) -> DataFrame:
-    return lookalikes.normalised(table(spark, d, "regions").select("region_id", "text").distinct(), "text").select("region_id", "normal")
+    """The normal form of every value of both tables; repeated rows once."""
+    history = table(spark, d, "history").select(F.lit("history").alias("tbl"), F.col("id").alias("rec_id"), F.col("latex").alias("text"))
+    regions = table(spark, d, "regions").select(F.lit("regions").alias("tbl"), F.col("region_id").alias("rec_id"), "text")
+    return lookalikes.normalised(history.unionByName(regions).distinct(), "text").select("tbl", "rec_id", "normal")
 
 
 def _scan(spark: SparkSession, d: str) -> scans.ScanNoise:

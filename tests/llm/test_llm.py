@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.llm import copies, cuts, garbled, leaks, lookalikes, mixing, scans
+from pagemill.llm import copies, cuts, garbled, leaks, lookalikes, mixing, queries, scans
 
 WORDS = "matrix vector number system modern formula integral light window table graph circle number paper signal kernel border orbit lemma basis".split()
 
@@ -123,6 +123,13 @@ def test_odd_records(spark):
     assert sorted(map(tuple, lookalikes.odd_records({"h": (df, "id", "t")}).collect())) == [("h", 1, ["invisible"]), ("h", 4, ["space"])]
 
 
+def test_normal_forms_of_both_tables(spark, tmp_path):
+    spark.createDataFrame([(1, "Ｆrаc​ é"), (2, None)], "id bigint, latex string").write.parquet(str(tmp_path / "history.parquet"))
+    spark.createDataFrame([(1, "FRAC é"), (1, "FRAC é"), (7, "a")], "region_id bigint, text string").write.parquet(str(tmp_path / "regions.parquet"))
+    got = sorted(map(tuple, queries.p4_normal(spark, str(tmp_path)).select("tbl", "rec_id", "normal").collect()))
+    assert got == [("history", 1, "frac é"), ("history", 2, None), ("regions", 1, "frac é"), ("regions", 7, "a")]
+
+
 # Scans.
 
 

@@ -35,6 +35,10 @@ STEPS = [
 
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _LOST = re.compile("[�\u0080-\u0084\u0086-\u009f]")
+#: The bytes of a UTF-8 character without its last.
+_STUMP = re.compile(rb"(?s:.*[\xe0-\xef][\x80-\xbf]|.*[\xf0-\xf4][\x80-\xbf]{1,2})")
+#: Short runs of ordinary Western text: one character, small letters, or quotes beside a letter or an opening mark.
+_ORDINARY = re.compile("(?s:.)|[ß-öø-ÿœšž]+|[“”„‘’‚«»‹›]+[¿¡]?[À-ÖØ-öø-ÿŒœŠšŽžŸ]?|[ß-öø-ÿœšž]+[“”„‘’‚«»‹›…–—]+")
 
 
 def _western() -> dict[int, int]:
@@ -69,15 +73,15 @@ def _to_bytes(text: str, encoding: str) -> bytes | None:
 
 
 @lru_cache(200_000)
-def readings(run: str) -> tuple[tuple[int, str], ...]:
+def readings(run: str, short: bool = False) -> tuple[tuple[int, str], ...]:
     """(number of the step, text) for every step that reads a run as something else.
 
-    Western letters as bytes of another script are only considered in runs of six or more: shorter
-    ones are ordinary accented letters and quotes side by side.
+    Western letters as bytes of another script are doubtful in runs of under six, which may be ordinary
+    accented letters and quotes side by side; short asks for these readings, else they are left out.
     """
     out = []
     for k, (by, to) in enumerate(STEPS):
-        if to != "utf-8" and len(run) < 6:
+        if short != (to != "utf-8" and len(run) < 6):
             continue
         raw = _to_bytes(run, by)
         if raw is None:
@@ -124,11 +128,25 @@ class Judge:
                 end = b
         return self.size("".join(before)) - self.size("".join(after))
 
+    def _short(self, text: str, spans: list[tuple[int, int]]) -> tuple[dict[int, dict[str, str]], dict[int, dict[str, str]]]:
+        """By step, the doubtful readings of runs that are no ordinary Western text, and of those that are."""
+        # Letters that go on in ASCII letters are part of a word.
+        inner = {text[a:b] for a, b in spans if text[a:b].isalpha() and (text[max(a - 1, 0) : a].isalpha() or text[b : b + 1].isalpha())}
+        odd: dict[int, dict[str, str]] = {}
+        plain: dict[int, dict[str, str]] = {}
+        for run in {text[a:b] for a, b in spans}:
+            for step, new in readings(run, True):
+                if _STUMP.fullmatch(_to_bytes(run, "western")):
+                    continue
+                (plain if run in inner or _ORDINARY.fullmatch(run) else odd).setdefault(step, {})[run] = new
+        return odd, plain
+
     def restore(self, text: str) -> tuple[str, int]:
         """The most likely original and the number of wrong readings undone (0: unchanged).
 
         The candidates are every step, alone and followed by further Western readings undone. The chain
-        that saves most beyond its cost is taken; runs that it cannot read wait for another round.
+        that saves most beyond its cost is taken; runs that it cannot read wait for another round. Short runs
+        of Western letters join a step if the text gets shorter for it.
         """
         total = 0
         for _ in range(DEPTH):
@@ -147,16 +165,24 @@ class Judge:
                 if more:
                     for run, shorter in chains[step, more - 1].items():
                         new.setdefault(run, shorter)
+            tries = sorted(chains.items())
+            odd, plain = self._short(text, spans)
+            for step, short in sorted(odd.items()):
+                known = chains.get((step, 0), {})
+                own = {r: n for r, n in short.items() if self._gain(text, spans, {r: n}) > 0}
+                tries += [((step, 0), known | x) for x in (short, own) if x]
             best, gain = None, 0.0
-            for chain, new in chains.items():
+            for chain, new in tries:
                 g = self._gain(text, spans, new) - STEP_COST * (1 + chain[1])
                 if g > gain:
-                    best, gain = chain, g
+                    best, gain = (chain, new), g
             if best is None:
                 break
-            new = chains[best]
+            (step, more), new = best
+            # Runs that look ordinary follow a step that others have shown, where each is the shorter for it.
+            new = new | {r: n for r, n in plain.get(step, {}).items() if self._gain(text, spans, {r: n}) > 0}
             text = _RUN.sub(lambda m, new=new: new.get(m.group(), m.group()), text)
-            total += 1 + best[1]
+            total += 1 + more
         return text, total
 
 

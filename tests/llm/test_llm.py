@@ -245,3 +245,14 @@ def test_garbled(spark):
     for k in range(0, 40, 4):
         assert restored[1000 + k] == clean[k][1] and restored[1003 + k] == clean[k + 3][1]
     assert restored[2000] == "Note " + zh
+
+
+def test_garbled_short_runs(spark):
+    zh = "我们用全局像素来覆盖每一个积分。模型不超过边界，"
+    parts = ["It’s known that a ≤ π. ", "We saw “rigid” forms. ", "Die größte Fläche der Straße. ", "“¿Por qué la página es así?” ", "Ångström units, À cette étape. ATENÇÃO: a dimensão. ", zh]
+    rng = random.Random(3)
+    clean = [(k, "".join(rng.sample(parts, 4)) * 3, "en") for k in range(200)]
+    gbk = lambda t: re.sub("[^\x00-\x7f]+", lambda m: m.group().encode("gb2312").decode("cp1252"), t)
+    want = {1000: "Long: " + zh + " It’s known that a ≤ π.", 1001: "It’s known that a ≤ π. We saw “rigid” forms.", 1002: "Also a ≤ π. It’s so."}
+    got = garbled.garbled(spark.createDataFrame(clean + [(k, gbk(t), "en") for k, t in want.items()], "doc_id bigint, text string, lang string")).collect()
+    assert {r["doc_id"]: r["restored"] for r in got} == want

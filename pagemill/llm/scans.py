@@ -66,7 +66,9 @@ def page_number(text: str) -> tuple[int | None, bool]:
     return None, False
 
 
-_SINGLE = {"e": "c", "a": "o", "0": "o", "c": "c", "f": "t", "7": "t", "h": "b", "6": "b", "8": "b", "1": "i", "l": "i", "|": "i", "9": "g", "5": "s", "2": "z", "4": "o", "3": "c"}
+#: Each character by itself, so that both sides of every confusion, whatever else is misread, come out equal (u, h and b, being ii and li, as two strokes).
+_STROKES = {"e": "c", "3": "c", "a": "o", "0": "o", "4": "o", "f": "t", "7": "t", "1": "i", "l": "i", "|": "i", "9": "g", "5": "s", "2": "z", "h": "ii", "b": "ii", "6": "ii", "8": "ii", "u": "ii", "d": "ci", "n": "ri", "m": "rri", "w": "vv"}
+_BAR = re.compile(r"(?<=[^\W\d_])\|(?=[^\W\d_])")
 
 
 def skeleton(text: str) -> str:
@@ -74,16 +76,13 @@ def skeleton(text: str) -> str:
 
     A token of digits (or a roman number at an end) is taken for the page number.
     """
-    tokens = re.findall(r"[^\W_]+", text)
+    tokens = re.findall(r"[^\W_]+", _BAR.sub("l", text))
     tokens = [t for t in tokens if not t.isdigit()]
     if len(tokens) > 1:
         for end in (0, -1):
             if len(tokens) > 1 and roman(tokens[end]) and tokens[end] != "I":
                 tokens.pop(end)
-    s = "".join("".join("l" if c == "I" and k and not t.isupper() else c for k, c in enumerate(t)).lower() for t in tokens)
-    for a, b in (("rn", "m"), ("ri", "n"), ("ii", "u"), ("vv", "w"), ("cl", "d"), ("li", "h")):
-        s = s.replace(a, b)
-    return "".join(_SINGLE.get(c, c) for c in s)
+    return "".join(_STROKES.get(c, c) for c in "".join(tokens).lower())
 
 
 def lines_of(regions: DataFrame | None, mixed: DataFrame | None, texts: DataFrame | None) -> DataFrame:

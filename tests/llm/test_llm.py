@@ -167,6 +167,31 @@ def test_page_numbers():
     assert scans.skeleton("Notes on Fire 12") == scans.skeleton("NOTES  ON  FIRE") == scans.skeleton("Notcs on Fire")
 
 
+def test_skeletons_of_misreadings():
+    key = lambda t: "".join(scans._STROKES.get(c, c) for c in t.lower())
+    assert all(key(a) == key(b) for a, b in scans.CONFUSIONS)
+    for right in ("Department print room", "Complete Origin and its Uses", "An Atlas of Rigid Subset", "The Implicit Orbit", "Clinical Humming Windows"):
+        for seen, real in scans.CONFUSIONS:
+            for m in re.finditer(re.escape(real), right):
+                inside = right[m.start() - 1 : m.start()].isalpha() and right[m.end() : m.end() + 1].isalpha()
+                if inside or (seen != "|" and not right[m.start() : m.end() + 1].isupper()):
+                    once = right[: m.start()] + seen + right[m.end() :]
+                    assert scans.skeleton(once) == scans.skeleton(right), once
+    assert scans.skeleton("The Print Room") != scans.skeleton("The Paint Room")
+
+
+def test_misread_headers(spark):
+    rng = random.Random(9)
+    titles = ["Department print room 1", "Department pr1nt room 2", "DEPARTMENT PRINT ROOM 3", None, None, None, None, None]
+    rows, mixed = [], []
+    for img, title in enumerate(titles):
+        mixed.append((img, 1, img + 1))
+        rows += [(img * 10 + y, img, 0, y * 20, "text", t) for y, t in enumerate([title or sentence(rng)] + [sentence(rng) for _ in range(6)])]
+    noise = scans.ScanNoise(spark.createDataFrame(rows, "region_id bigint, img bigint, x int, y int, type string, text string"), m := spark.createDataFrame(mixed, "img bigint, doc bigint, page int"), None)
+    assert {r["rec_id"] for r in noise.found(m).where("noise = 'header' and tbl = 'regions'").collect()} == {0, 10, 20}
+    assert not any("room" in r["text"].lower() for r in noise.repaired().collect())
+
+
 # Leaks.
 
 

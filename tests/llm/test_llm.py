@@ -39,6 +39,15 @@ def test_cuts(spark):
     assert 5000 not in got and sum(r["records"] for r in cuts.cut_shares(records).collect()) == 901
 
 
+def test_cut_sample_has_no_favourite_text(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [("history", None, k, 0, "$x=1$. " + (sentence(rng) if k % 3 else "The same text.")) for k in range(900)]
+    shares, train = [], cuts.train
+    monkeypatch.setattr(cuts, "train", lambda values, seed: shares.append(sum(t.endswith("The same text.") for t, _ in values) / len(values)) or train(values, seed))
+    cuts.scored(spark.createDataFrame(rows, "tbl string, src string, key1 bigint, key2 bigint, text string"), sample=300)
+    assert 0.2 < shares[0] < 0.5
+
+
 def test_cut_endings():
     for t in [r"x\qua", r"\frac{1}", "a=", "(a", r"\begin{a}x", "$x"]:
         assert cuts.Ending(t).open, t

@@ -43,16 +43,64 @@ def test_cut_sample_has_no_favourite_text(spark, monkeypatch):
     rng = random.Random(2)
     rows = [("history", None, k, 0, "$x=1$. " + (sentence(rng) if k % 3 else "The same text.")) for k in range(900)]
     shares, train = [], cuts.train
-    monkeypatch.setattr(cuts, "train", lambda values, seed: shares.append(sum(t.endswith("The same text.") for t, _ in values) / len(values)) or train(values, seed))
+    monkeypatch.setattr(cuts, "train", lambda values, *more: shares.append(sum(t.endswith("The same text.") for _, t in values) / len(values)) or train(values, *more))
     cuts.scored(spark.createDataFrame(rows, "tbl string, src string, key1 bigint, key2 bigint, text string"), sample=300)
     assert 0.2 < shares[0] < 0.5
 
 
-def test_cut_endings():
-    for t in [r"x\qua", r"\frac{1}", "a=", "(a", r"\begin{a}x", "$x"]:
-        assert cuts.Ending(t).open, t
-    for t in [r"x+\ldots", "x=1}", r"\frac{1}{2}.", r"w\in[0,1)", ""]:
-        assert not cuts.Ending(t).open, t
+def test_cut_balances():
+    def by_hand(t):
+        out, k = [0] * 6, 0
+        pairs = {"{": (0, 1), "}": (0, -1), "\\begin": (1, 1), "\\end": (1, -1), "\\left": (2, 1), "\\right": (2, -1), "(": (3, 1), "[": (3, 1), ")": (3, -1), "]": (3, -1), "\\[": (4, 1), "\\]": (4, -1), "$": (5, 1)}
+        for p in re.findall(r"\\[A-Za-z]+|\\.|.", t, re.S):
+            if p in pairs:
+                k, by = pairs[p]
+                out[k] = max(0, out[k] + by)
+        return [*out[:5], out[5] % 2]
+
+    rng = random.Random(4)
+    parts = ["{", "}", "\\{", "\\}", "\\\\", "\\begin", "\\end", "\\left", "\\leftarrow", "\\right", "(", ")", "[", "]", "\\[", "\\]", "$", "\\$", "a", " ", "é", "字", "\U0001d400"]
+    texts = ["", "{", *("".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(500))]
+    assert cuts.balances(texts)[:, :6].tolist() == [by_hand(t) for t in texts]
+    assert cuts.balances([]).shape == (0, 8)
+
+
+def test_cut_owner_of_a_group():
+    for t, want in [(r"\frac{1}", r"\frac:1"), (r"x+\frac{1}{y_{2}}", r"\frac:2"), ("a^{2}", "^:1"), ("a}", "?"), (r"\{a\}", ""), ("a", ""), ("{a}", ":1")]:
+        assert cuts._owner(t) == want, t
+
+
+def test_cut_threshold_finds_the_share():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    cut = rng.normal(6, 1, 4000)
+    values = np.concatenate((rng.normal(-4, 1, 9000), rng.normal(6, 1, 1000)))
+    at, share = cuts.threshold(values, cut)
+    assert 0 < at < 5 and abs(share - 0.1) < 0.02
+    assert cuts.threshold(np.zeros(0), np.zeros(0)) == (0.0, 0.0)
+
+
+def test_cut_limit_is_no_common_length(spark):
+    """Values of source a are cut at 60; those of b are often 60 long by themselves."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(1500):
+        t = f"This gives $x={rng.randrange(99)}$. {sentence(rng)} {sentence(rng)}"
+        s = "x" * 40 + "=\\frac{%d}{%d}+y" % (rng.randrange(10, 99), rng.randrange(1000, 9999))
+        rows += [("a", t[:60] if k % 8 == 0 else t), ("b", (s + "+z+z+z")[: 60 if k % 3 else 58])]
+    models, train = [], cuts.train
+    df = spark.createDataFrame([("history", s, k, 0, t) for k, (s, t) in enumerate(rows)], "tbl string, src string, key1 bigint, key2 bigint, text string")
+    original = cuts.train
+    try:
+        cuts.train = lambda *a: models.append(train(*a)) or models[-1]
+        records = cuts.scored(df)
+        got = {r["key1"] for r in cuts.cut_records(records).collect()}
+    finally:
+        cuts.train = original
+    assert models[0].limits["a"] == [60] and not models[0].limits.get("b")
+    want = {k for k, (s, t) in enumerate(rows) if s == "a" and len(t) == 60 and t[-1] != "."}
+    assert len(got & want) > 0.9 * len(want) and len(got - want) < 20
 
 
 # Copies.

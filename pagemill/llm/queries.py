@@ -53,7 +53,7 @@ def _scan(spark: SparkSession, d: str) -> scans.ScanNoise:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _scan(spark, d).found(table(spark, d, "mixed_result"))
+    return _scan(spark, d).found()
 
 
 def p5_repaired(spark: SparkSession, d: str) -> DataFrame:

@@ -1,14 +1,14 @@
 """Noise of scanned pages: split words, misread letters, running headers and page numbers.
 
-Lines of all tables are brought into one table in reading order. Page edges are the outermost lines
-of an image. Page numbers are edge lines of a number form, checked against the sequence of their
-document; headers and footers are edge lines whose skeleton (letters that scanners confuse fall
-together, digits and spacing drop out) returns on enough pages of the document. The vocabulary is
-counted over the whole corpus; a split or misread word is decided by joining its joined form and
-its possible originals with the vocabulary, once per distinct word.
-
-No window ever holds a whole image: edges are found in two rounds over salted parts, neighbours in
-blocks of the page whose ends are stitched.
+Regions are put in reading order by image; texts of whole images (`mixed_result`, `text_result`) hold
+their lines in order already and never shuffle. Page edges are the outermost lines. Page numbers are
+edge lines of a number form, checked against the sequence of their document. Headers and footers are
+edge lines that return on enough pages of their document: lines of one skeleton (letters that scanners
+confuse fall together, digits and spacing drop out) count together, and so do lines whose skeletons
+differ from a frequent one by little. The vocabulary is counted over the whole corpus; a split or
+misread word is decided once per distinct word, by its joined form and its possible originals.
+
+No window ever holds a whole image: lines are ordered within blocks of the page whose ends are stitched.
 """
 
 from __future__ import annotations
@@ -29,18 +29,25 @@ CONFUSIONS = [
     ("1", "i"), ("1", "l"), ("0", "o"), ("5", "s"), ("9", "g"), ("6", "b"), ("2", "z"), ("8", "b"), ("4", "a"), ("3", "e"), ("7", "t"), ("I", "l"), ("l", "i"), ("|", "l"),
 ]
 
-#: An original is believed if it is at least so many times as frequent as the reading, and occurs so often at all.
-RATIO, LEAST = 8, 3
+#: An original is believed if it is at least so many times as frequent as the reading (so many times more for each letter
+#: that a word is shorter than SHORT), and occurs so often at all. Texts of regions stand in mixed_result once more.
+RATIO, SHORT, SHORTER, LEAST = 8, 4, 6, 6
 #: Header and footer: pages at least, and share of the pages of the document that must be exceeded.
 HEADER_PAGES, HEADER_SHARE = 3, 1 / 3
-#: Height of a block of a page (pixels, or lines of a plain text), and parts an image is salted into.
-BLOCK, SALT = 8192, 16
-#: Distinct decided words that may be broadcast.
+#: Lines at each end of a page that may be a header; letters of a skeleton per letter that may differ from a frequent one.
+EDGE, PER_DIFFERENCE = 3, 8
+#: Height of a block of a page in pixels.
+BLOCK = 8192
+#: Distinct decided words, and words of the vocabulary, that may be broadcast.
 WORDS_LIMIT = 500_000
 
-_MARK = r"[-‐‑¬­]"
+_HYPHENS = "-‐‑¬\u00ad"
+_MARK = f"[{_HYPHENS}]"
 _SPLIT = rf"([\p{{L}}\p{{N}}]+){_MARK}\s*$"
 _HEAD = r"^\s*([\p{L}\p{N}]+)"
+_WORD = r"[\p{L}\p{N}]+"
+#: Stands for a formula among the lines of a text.
+_FORMULA = "\u0001"
 
 _NUMBER = re.compile(r"^\s*(?:[-–—\[(]\s*)?(?:(p\.|pp\.|page|seite|página|pág\.|s\.|第)\s*)?(\d{1,5})\s*(页|頁)?\s*(?:(?:/|of|von|de)\s*\d+)?\s*(?:[-–—\])])?\s*$", re.I)
 _ROMAN = re.compile(r"^\W*([ivxlcdm]+)\W*$", re.I)
@@ -68,7 +75,9 @@ def page_number(text: str) -> tuple[int | None, bool]:
 
 #: Each character by itself, so that both sides of every confusion, whatever else is misread, come out equal (u, h and b, being ii and li, as two strokes).
 _STROKES = {"e": "c", "3": "c", "a": "o", "0": "o", "4": "o", "f": "t", "7": "t", "1": "i", "l": "i", "|": "i", "9": "g", "5": "s", "2": "z", "h": "ii", "b": "ii", "6": "ii", "8": "ii", "u": "ii", "d": "ci", "n": "ri", "m": "rri", "w": "vv"}
+_STROKE_TABLE = str.maketrans(_STROKES)
 _BAR = re.compile(r"(?<=[^\W\d_])\|(?=[^\W\d_])")
+_TOKEN = re.compile(r"[^\W_]+")
 
 
 def skeleton(text: str) -> str:
@@ -76,48 +85,102 @@ def skeleton(text: str) -> str:
 
     A token of digits (or a roman number at an end) is taken for the page number.
     """
-    tokens = re.findall(r"[^\W_]+", _BAR.sub("l", text))
-    tokens = [t for t in tokens if not t.isdigit()]
+    tokens = [t for t in _TOKEN.findall(_BAR.sub("l", text) if "|" in text else text) if not t.isdigit()]
     if len(tokens) > 1:
         for end in (0, -1):
-            if len(tokens) > 1 and roman(tokens[end]) and tokens[end] != "I":
+            if len(tokens) > 1 and tokens[end][0] in "ivxlcdmIVXLCDM" and tokens[end] != "I" and roman(tokens[end]):
                 tokens.pop(end)
-    return "".join(_STROKES.get(c, c) for c in "".join(tokens).lower())
+    return "".join(tokens).lower().translate(_STROKE_TABLE)
 
 
-def lines_of(regions: DataFrame | None, mixed: DataFrame | None, texts: DataFrame | None) -> DataFrame:
-    """(tbl, rec, img, y, x, text, formula, doc, page): every distinct line with text, odd characters in normal form.
+# Lines.
 
-    regions give a line each, texts one per line of their text; mixed gives doc and page of an image.
-    """
+
+def _half(text: Column) -> Column:
+    """The half of a word that a line leaves at its end, else null; a look at its last character spares most lines the pattern."""
+    return F.when(F.substring(F.rtrim(text), -1, 1).isin(*_HYPHENS), F.nullif(F.regexp_extract(text, _SPLIT, 1), F.lit("")))
+
+
+def _hyphens_at_ends(text: Column) -> Column:
+    # A soft hyphen is invisible within a line, but at its end it splits a word.
+    return F.when(F.instr(text, "\u00ad") > 0, F.regexp_replace(text, "(?m)(?<=\\p{L})\u00ad([ \\t]*)$", "-$1")).otherwise(text)
+
+
+def values_of(mixed: DataFrame | None, texts: DataFrame | None) -> DataFrame | None:
+    """(tbl, rec, doc, page, lines): the texts of whole images in normal form; lines that are not blank, a formula as one mark."""
     parts = []
-    if regions is not None:
-        pages = mixed.where(F.col("doc").isNotNull() & F.col("page").isNotNull()).groupBy("img").agg(F.min(F.struct("doc", "page")).alias("p")) if mixed is not None else None
-        r = regions.where("text is not null and trim(text) <> '' and region_id is not null").groupBy("region_id").agg(F.min(F.struct("img", "y", "x", "text", "type")).alias("r"))
-        r = r.select(F.col("region_id").cast("bigint").alias("rec"), "r.*")
-        r = r.join(pages, "img", "left").withColumn("doc", F.col("p.doc")).withColumn("page", F.col("p.page")) if pages is not None else r.withColumns({"doc": F.lit(None).cast("bigint"), "page": F.lit(None).cast("int")})
-        parts.append(r.select(F.lit("regions").alias("tbl"), "rec", F.col("img").cast("bigint"), F.coalesce(F.col("y"), F.lit(0)).cast("bigint").alias("y"), F.coalesce(F.col("x"), F.lit(0)).cast("bigint").alias("x"), "text", (F.coalesce(F.col("type"), F.lit("text")) == "formula").alias("formula"), F.col("doc").cast("bigint"), F.col("page").cast("bigint")))
+    if mixed is not None and "formatted_text" in mixed.columns:
+        parts.append(mixed.select(F.lit("mixed_result").alias("tbl"), F.col("img").cast("bigint").alias("rec"), F.col("doc").cast("bigint").alias("doc"), F.col("page").cast("bigint").alias("page"), F.col("formatted_text").alias("text")))
     if texts is not None:
-        t = texts.where("text is not null and img is not null").select("img", "text").distinct().select("img", F.posexplode(F.split("text", "\n")).alias("y", "text")).where("trim(text) <> ''")
-        parts.append(t.select(F.lit("text_result").alias("tbl"), F.col("img").cast("bigint").alias("rec"), F.col("img").cast("bigint"), F.col("y").cast("bigint"), F.lit(0).cast("bigint").alias("x"), "text", F.lit(False).alias("formula"), F.lit(None).cast("bigint").alias("doc"), F.lit(None).cast("bigint").alias("page")))
+        none = F.lit(None).cast("bigint")
+        parts.append(texts.select(F.lit("text_result").alias("tbl"), F.col("img").cast("bigint").alias("rec"), none.alias("doc"), none.alias("page"), "text"))
+    if not parts:
+        return None
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    # A soft hyphen is invisible within a line, but at its end it splits a word.
-    out = out.withColumn("text", F.regexp_replace("text", "(?<=\\p{L})\u00ad(\\s*)$", "-$1"))
-    return normalised(out, "text", "text", fold=False)
+    out = out.where("rec is not null and text is not null").withColumn("text", _hyphens_at_ends(F.col("text")))
+    out = normalised(out, "text", "text", fold=False)
+    marked = F.when(F.instr("text", "$$") > 0, F.regexp_replace("text", r"(?ms)^\$\$$.*?^\$\$$", _FORMULA)).otherwise(F.col("text"))
+    return out.select("tbl", "rec", "doc", "page", F.filter(F.split(marked, "\n"), lambda x: F.trim(x) != "").alias("lines"))
 
 
-_ORDER = ("y", "x", "rec")
+def _value_lines(values: DataFrame) -> DataFrame:
+    body = values.select("tbl", "rec", F.filter("lines", lambda x: x != _FORMULA).alias("body"))
+    rows = body.select("tbl", "rec", F.posexplode(F.arrays_zip("body", F.concat(F.array(F.lit(None).cast("string")), "body").alias("prev"))).alias("line", "z")).where("z.body is not null")
+    return rows.select("tbl", "rec", F.col("line").cast("bigint").alias("line"), F.col("z.body").alias("text"), _half(F.col("z.prev")).alias("a"), F.col("rec").alias("a_rec"))
 
 
-def edges(lines: DataFrame, n: int = 2) -> DataFrame:
-    """The first and the last n lines of every image, with top and bottom (1: outermost); found within salted parts first."""
+def _value_edges(values: DataFrame) -> DataFrame:
+    places = F.transform("lines", lambda x, k: F.struct(x.alias("text"), (k + 1).alias("top"), (F.size("lines") - k).alias("bottom")))
+    outer = F.filter(places, lambda s: ((s["top"] <= EDGE) | (s["bottom"] <= EDGE)) & (s["text"] != _FORMULA))
+    return values.select("tbl", "rec", F.col("rec").alias("img"), "doc", "page", F.inline(outer))
 
-    def ranked(df: DataFrame, *more: Column | str) -> DataFrame:
-        w = Window.partitionBy("tbl", "img", *more)
-        df = df.withColumn("top", F.row_number().over(w.orderBy(*_ORDER))).withColumn("bottom", F.row_number().over(w.orderBy(*(F.col(c).desc() for c in _ORDER))))
-        return df.where((F.col("top") <= n) | (F.col("bottom") <= n))
 
-    return ranked(ranked(lines.withColumn("salt", F.pmod(F.xxhash64(*_ORDER), F.lit(SALT))), "salt").drop("salt", "top", "bottom"))
+def _region_lines(regions: DataFrame) -> DataFrame:
+    """Region lines with block, places from both ends of the block, and the half of a word (a, a_rec) that the line before
+    (formulas aside) leaves at its end. All windows share one order.
+
+    Rows repeated in full count once. A null y or x counts as 0, an unknown type as text.
+    """
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    rows = regions.where("text is not null and trim(text) <> '' and region_id is not null").select(F.col("region_id").cast("bigint").alias("rec"), F.col("img").cast("bigint").alias("img"), zero("y"), zero("x"), F.coalesce(F.col("type") == "formula", F.lit(False)).alias("formula"), _hyphens_at_ends(F.col("text")).alias("text"))
+    rows = normalised(rows, "text", "text", fold=False).withColumn("block", F.floor(F.col("y") / BLOCK))
+    part = Window.partitionBy("img", "block")
+    order = part.orderBy("y", "x", "rec", "text")
+    line = F.struct("rec", "y", "x", "text")
+    rows = rows.withColumn("new", F.when(F.lag(line).over(order).eqNullSafe(line), 0).otherwise(1))
+    halves = F.when(~F.col("formula"), F.struct(_half(F.col("text")).alias("a"), F.col("rec").alias("a_rec")))
+    before = F.last(halves, True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"top": F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"), "all": F.sum("new").over(part).cast("int"), "before": F.when(F.col("new") == 1, before)})
+    return rows.where("new = 1").withColumn("bottom", F.col("all") - F.col("top") + 1).drop("new", "all")
+
+
+def _stitched(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """Lines of regions (no formulas); a word split at the end of a block goes on in the first line of the next block that has one."""
+    body = rows.where("not formula")
+    columns = ["tbl", "rec", "line", "text", "a", "a_rec"]
+    plain = body.select(F.lit("regions").alias("tbl"), "rec", F.lit(0).cast("bigint").alias("line"), "text", "before", "before.*", "img", "block", "y", "x")
+    # Only images of several blocks are stitched.
+    tall, low = plain.join(several, "img", "left_semi"), plain.join(several, "img", "left_anti")
+    ends = tall.groupBy("img", "block").agg(F.max(F.struct("y", "x", "rec", "text")).alias("end"))
+    later = ends.select("img", "block", F.lag(F.struct(_half(F.col("end.text")).alias("a"), F.col("end.rec").alias("a_rec"))).over(Window.partitionBy("img").orderBy("block")).alias("earlier"))
+    tall = tall.drop("a", "a_rec").join(later, ["img", "block"]).select("tbl", "rec", "line", "text", F.coalesce("before", "earlier").alias("e")).select("tbl", "rec", "line", "text", "e.*")
+    return low.select(columns).unionByName(tall.select(columns))
+
+
+def _region_edges(rows: DataFrame, several: DataFrame, pages: DataFrame | None) -> DataFrame:
+    outer = rows.where((F.col("top") <= EDGE) | (F.col("bottom") <= EDGE)).select("rec", "img", "y", "x", "text", "top", "bottom", "formula", "block")
+    low, tall = outer.join(several, "img", "left_anti").drop("block", "y", "x"), outer.join(several, "img", "left_semi")
+    w = Window.partitionBy("img")
+    tall = tall.withColumns({"top": F.row_number().over(w.orderBy("y", "x", "rec")), "bottom": F.row_number().over(w.orderBy(F.desc("y"), F.desc("x"), F.desc("rec")))}).drop("block", "y", "x")
+    out = low.unionByName(tall).where(((F.col("top") <= EDGE) | (F.col("bottom") <= EDGE)) & ~F.col("formula")).drop("formula")
+    if pages is None:
+        out = out.withColumns({"doc": F.lit(None).cast("bigint"), "page": F.lit(None).cast("bigint")})
+    else:
+        out = out.join(pages, "img", "left")
+    return out.select(F.lit("regions").alias("tbl"), "rec", "img", "doc", "page", "text", "top", "bottom")
+
+
+# Headers and page numbers.
 
 
 def _edge_marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,37 +189,50 @@ def _edge_marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         b["number"] = pd.array([n for n, _ in found], dtype="Int64")
         b["sure"] = [s for _, s in found]
         b["key"] = [skeleton(t) if n is None else "" for t, (n, _) in zip(b["text"], found)]
-        yield b[["tbl", "rec", "y", "x", "img", "doc", "page", "top", "bottom", "number", "sure", "key"]]
-
-
-def furniture(lines: DataFrame) -> DataFrame:
-    """(tbl, rec, y, x, noise): page numbers and headers. lines: a written table of `lines_of`."""
-    schema = "tbl string, rec bigint, y bigint, x bigint, img bigint, doc bigint, page bigint, top int, bottom int, number bigint, sure boolean, key string"
-    at_edge = written(edges(lines).where(~F.col("formula")).mapInPandas(_edge_marks, schema), "scan-edges")
-    outer = at_edge.where("(top = 1 or bottom = 1) and number is not null")
-    steps = outer.where("doc is not null").groupBy("doc", (F.col("number") - F.col("page")).alias("step")).agg(F.countDistinct("page").alias("n"))
-    numbers = (
-        outer.withColumn("step", F.col("number") - F.col("page"))
-        .join(steps, ["doc", "step"], "left")
-        .where("doc is null or sure or n >= 2")
-        .select("tbl", "rec", "y", "x", F.lit("pageno").alias("noise"))
-    )
-    pages = lines.where("doc is not null").groupBy("doc").agg(F.countDistinct("page").alias("pages"))
-    named = at_edge.where("doc is not null and length(key) >= 4")
-    repeated = named.groupBy("doc", "key").agg(F.countDistinct("page").alias("n")).join(pages, "doc").where((F.col("n") >= HEADER_PAGES) & (F.col("n") > F.col("pages") * HEADER_SHARE)).select("doc", "key")
-    headers = named.join(repeated, ["doc", "key"], "left_semi").select("tbl", "rec", "y", "x", F.lit("header").alias("noise"))
-    return numbers.unionByName(headers).distinct()
-
-
-def neighbours(body: DataFrame) -> DataFrame:
-    """body with next_text and next_rec, the next line of the image, and after_split, whether the line before ends in a split."""
-    block = body.withColumn("block", F.floor(F.col("y") / BLOCK))
-    w = Window.partitionBy("tbl", "img", "block").orderBy(*_ORDER)
-    split = F.col("text").rlike(_SPLIT)
-    local = block.withColumn("in_block", F.lead(F.struct("text", "rec")).over(w)).withColumn("after_split", F.coalesce(F.lag(split).over(w), F.lit(False)))
-    heads = block.groupBy("tbl", "img", "block").agg(F.min(F.struct(*_ORDER, "text")).alias("head"))
-    heads = heads.select("tbl", "img", "block", F.lead(F.struct("head.text", "head.rec")).over(Window.partitionBy("tbl", "img").orderBy("block")).alias("later"))
-    return local.join(heads, ["tbl", "img", "block"], "left").withColumn("after", F.coalesce("in_block", "later")).withColumns({"next_text": F.col("after.text"), "next_rec": F.col("after.rec")}).drop("in_block", "later", "after", "block")
+        yield b[["tbl", "rec", "img", "doc", "page", "top", "bottom", "number", "sure", "key"]][[n is not None or len(k) >= 4 for (n, _), k in zip(found, b["key"])]]
+
+
+_EDGE_ROW = "tbl string, rec bigint, img bigint, doc bigint, page bigint, top int, bottom int, number bigint, sure boolean, key string"
+
+
+def header_keys(named: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc, key): skeletons of headers. named: doc, page, key of edge lines; pages: doc, pages.
+
+    Keys near a frequent one (on two pages and a twelfth of the document at least, so less than 12 * 2 * EDGE
+    of them in a document) count with it: at most one difference for PER_DIFFERENCE letters.
+    """
+    counted = written(named.groupBy("doc", "key").agg(F.countDistinct("page").alias("n")).join(pages, "doc"), "scan-keys")
+    enough = lambda n: (F.col(n) >= HEADER_PAGES) & (F.col(n) > F.col("pages") * HEADER_SHARE)
+    seeds = counted.where("n >= 2 and n * 12 >= pages").select("doc", F.col("key").alias("seed"))
+    far = F.floor(F.length("seed") / PER_DIFFERENCE).cast("int")
+    near = F.abs(F.length("seed") - F.length("key")) <= far
+    pairs = counted.select("doc", "key").join(small(seeds), "doc").where(near & (F.levenshtein("seed", "key") <= far))
+    wide = pairs.where("seed <> key").select("doc", "seed").distinct()
+    # Where a seed has near keys, its pages are counted with theirs.
+    joint = named.join(small(pairs.join(wide, ["doc", "seed"])), ["doc", "key"]).groupBy("doc", "seed").agg(F.countDistinct("page").alias("n")).join(pages, "doc").where(enough("n")).select("doc", "seed")
+    return counted.where(enough("n")).select("doc", "key").unionByName(pairs.join(joint, ["doc", "seed"], "left_semi").select("doc", "key")).distinct()
+
+
+def furniture(edges: DataFrame, pages: DataFrame) -> DataFrame:
+    """(tbl, rec, top, noise): page numbers and headers among the edge lines. pages: doc, pages.
+
+    A page number may stand within headers; in a document at least two pages must show the same step from page to
+    number, unless the form is sure or the document has fewer than two numbered pages.
+    """
+    at_edge = written(edges.mapInPandas(_edge_marks, _EDGE_ROW), "scan-edges")
+    keys = small(written(header_keys(at_edge.where("doc is not null and key <> ''").select("doc", "page", "key"), pages), "scan-headers"))
+    marked = written(at_edge.join(keys.withColumn("header", F.lit(True)), ["doc", "key"], "left").where("header or number is not null").withColumn("header", F.coalesce("header", F.lit(False))), "scan-marked")
+    w = Window.partitionBy("tbl", "img")
+    # Headers outside a line: if they are all that lies there, the line is outermost.
+    within = lambda place: F.coalesce(F.sum(F.col("header").cast("int")).over(w.orderBy(place).rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)) == F.col(place) - 1
+    outer = marked.withColumn("outer", within("top") | within("bottom")).where("outer and number is not null").withColumn("step", F.col("number") - F.col("page"))
+    steps = outer.where("doc is not null").groupBy("doc", "step").agg(F.countDistinct("page").alias("n"))
+    known = outer.where("doc is not null").groupBy("doc").agg(F.countDistinct("page").alias("numbered"))
+    numbers = outer.join(small(steps), ["doc", "step"], "left").join(small(known), "doc", "left").where("doc is null or sure or n >= 2 or numbered < 2")
+    return numbers.select("tbl", "rec", "top", F.lit("pageno").alias("noise")).unionByName(marked.where("header").select("tbl", "rec", "top", F.lit("header").alias("noise"))).distinct()
+
+
+# Words.
 
 
 def originals(word: str) -> set[tuple[str, int]]:
@@ -165,10 +241,7 @@ def originals(word: str) -> set[tuple[str, int]]:
     low = word.lower()
     for seen, real in CONFUSIONS:
         shouted = seen == "I"
-        if shouted and word.isupper():
-            continue
-        letters = seen.isalpha() and not shouted
-        if len(word) < (4 if letters else 3):
+        if len(word) < 2 or (shouted and word.isupper()):
             continue
         text = word if shouted else low
         at = text.find(seen, 1 if shouted else 0)
@@ -178,126 +251,216 @@ def originals(word: str) -> set[tuple[str, int]]:
     return out
 
 
-def _lookups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _needed(length: Column, own: Column) -> Column:
+    """How often an original must occur to be believed beside a reading of this length that occurs `own` times."""
+    return F.greatest(F.lit(LEAST), own * RATIO * F.pow(F.lit(SHORTER), F.greatest(F.lit(SHORT) - length, F.lit(0))))
+
+
+def _single_lookups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = [(a, own, at, o) for a, own in zip(b["a"], b["own"].tolist()) if any(x.isalpha() for x in a) for o, at in originals(a)]
+        yield pd.DataFrame(rows, columns=["a", "own", "at", "word"])
+
+
+def _pair_lookups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for a, c in zip(b["a"], b["b"]):
             word = a + c
-            rows.append((a, c, "self", 0, word.lower()))
-            if c:
-                rows += [(a, c, "compound", 0, f"{a}-{c}".lower()), (a, c, "left", 0, a.lower()), (a, c, "right", 0, c.lower())]
-            if any(x.isalpha() for x in word):
-                rows += [(a, c, "original", at, o) for o, at in originals(word)]
+            rows += [(a, c, "self", 0, word.lower()), (a, c, "compound", 0, f"{a}-{c}".lower()), (a, c, "left", 0, a.lower()), (a, c, "right", 0, c.lower())]
+            rows += [(a, c, "original", at, o) for o, at in originals(word)]
         yield pd.DataFrame(rows, columns=["a", "b", "kind", "at", "word"])
 
 
-def decided_words(events: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(a, b, split, original, at) for distinct words (b empty) and split words (a, b) with something wrong.
+def misread_words(vocabulary: DataFrame) -> DataFrame:
+    """(a, original, at) of the words with a likelier original. vocabulary: word (lower case), n, forms (as written); a written table."""
+    top = vocabulary.agg(F.max("n").alias("n")).first()["n"] or 0
+    rare = vocabulary.where(F.size("forms") > 0).where(F.col("n") * RATIO <= top).select(F.explode("forms").alias("a"), F.col("n").alias("own"))
+    frequent = small(vocabulary.where(F.col("n") >= LEAST).select("word", "n"), WORDS_LIMIT)
+    looked = rare.mapInPandas(_single_lookups, "a string, own bigint, at int, word string").join(frequent, "word")
+    looked = looked.where(F.col("n") >= _needed(F.length("a"), F.col("own")))
+    return looked.groupBy("a").agg(F.max(F.struct("n", "word", "at")).alias("best")).select("a", F.col("best.word").alias("original"), F.col("best.at").alias("at"))
 
-    split: the two halves are one word that the scan split (and not a compound broken at its own hyphen).
+
+def split_words(pairs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(a, b, split, original, at) of the pairs of halves with something wrong.
+
+    split: the halves are one word that the scan split (and not a compound broken at its own hyphen).
     original: the word that was misread, or null; at: where.
     """
-    looked = events.select("a", "b").distinct().mapInPandas(_lookups, "a string, b string, kind string, at int, word string").join(vocabulary, "word")
+    looked = pairs.select("a", "b").distinct().mapInPandas(_pair_lookups, "a string, b string, kind string, at int, word string").join(small(vocabulary.select("word", "n"), WORDS_LIMIT), "word")
     n = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
     best = F.max(F.when(F.col("kind") == "original", F.struct("n", "word", "at")))
     d = looked.groupBy("a", "b").agg(n("self").alias("own"), n("compound").alias("compound"), n("left").alias("left"), n("right").alias("right"), best.alias("best"))
-    wrong = (F.col("best.n") >= LEAST) & (F.col("best.n") >= RATIO * F.col("own")) & (F.col("best.n") > F.col("compound"))
-    split = (F.col("b") != "") & ((F.col("own") > F.col("compound")) | ((F.col("compound") == 0) & (F.coalesce(wrong, F.lit(False)) | ~((F.col("left") >= LEAST) & (F.col("right") >= LEAST)))))
+    wrong = (F.col("best.n") >= _needed(F.length("a") + F.length("b"), F.col("own"))) & (F.col("best.n") > F.col("compound"))
+    split = (F.col("own") > F.col("compound")) | ((F.col("compound") == 0) & (F.coalesce(wrong, F.lit(False)) | ~((F.col("left") >= LEAST) & (F.col("right") >= LEAST))))
     d = d.select("a", "b", split.alias("split"), F.when(wrong, F.col("best.word")).alias("original"), F.when(wrong, F.col("best.at")).alias("at"))
     return d.where(F.col("split") | F.col("original").isNotNull())
 
 
-def _events(near: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(words, pairs, compounds): single words of the lines, split words with both lines' words, compounds with a hyphen. near: body lines with neighbours."""
-    near = near.withColumn("a", F.nullif(F.regexp_extract("text", _SPLIT, 1), F.lit(""))).withColumn("b", F.nullif(F.regexp_extract(F.coalesce("next_text", F.lit("")), _HEAD, 1), F.lit("")))
-    near = near.withColumn("pair", F.coalesce(F.col("a").rlike(r"\p{L}$") & F.col("b").rlike(r"^[\p{L}\p{N}]"), F.lit(False)))
-    words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    first = F.when(F.col("after_split"), 2).otherwise(1)
-    inner = F.slice(words, first, F.greatest(F.size(words) - first + 1 - F.when(F.col("pair"), 1).otherwise(0), F.lit(0)))
-    singles = near.select("tbl", "rec", "img", "y", "x", F.explode(inner).alias("a")).withColumn("b", F.lit(""))
-    pairs = near.where("pair").select("tbl", "rec", "img", "y", "x", "a", "b", "next_rec")
-    compounds = near.select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+-\p{L}+"), F.lit(0))).alias("a"))
-    return singles, pairs, compounds
+#: ASCII signs that are no letters or digits.
+_SIGNS = "".join(chr(k) for k in range(1, 127) if not chr(k).isalnum() and k != 32)
+
+
+def _all_words(text: Column) -> Column:
+    """The words of a text, for a plain one with empty ones between: cutting at blanks is far cheaper than a pattern."""
+    plain = F.split(F.translate(text, _SIGNS, " " * len(_SIGNS)), " ")
+    return F.when(F.octet_length(text) == F.char_length(text), plain).otherwise(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)))
 
 
 class ScanNoise:
     """The parts of an analysis that reports and repairs share; each is written once."""
 
     def __init__(self, regions: DataFrame | None, mixed: DataFrame | None, texts: DataFrame | None) -> None:
-        self.lines = written(lines_of(regions, mixed, texts), "scan-lines")
-        self.furniture = written(furniture(self.lines), "scan-furniture")
-        self.body = self.lines.where(~F.col("formula")).join(self.furniture.select("tbl", "rec", "y", "x").distinct(), ["tbl", "rec", "y", "x"], "left_anti")
-        # Neighbours are found once; words, pairs and the next record all come from this table.
-        self.near = written(neighbours(self.body), "scan-near")
-        singles, pairs, compounds = _events(self.near)
-        self.pairs = written(pairs, "scan-pairs")
-        self.headers = self.lines.join(self.furniture.where("noise = 'header'"), ["tbl", "rec", "y", "x"], "left_semi")
-        loose = self.headers.select("tbl", "rec", "img", "y", "x", F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("a")).withColumn("b", F.lit(""))
-        self.words = singles.unionByName(loose)
-        counted = self.words.groupBy("a").count()
-        self.counted = written(counted, "scan-words")
-        vocabulary = self.counted.select(F.lower("a").alias("word"), "count").unionByName(compounds.groupBy(F.lower("a").alias("word")).count()).groupBy("word").agg(F.sum("count").alias("n"))
-        events = self.counted.select("a", F.lit("").alias("b")).unionByName(self.pairs.select("a", "b"))
-        self.decided = written(decided_words(events, vocabulary), "scan-decided")
+        self.regions, self.mixed, self.texts = regions, mixed, texts
+        paged = None
+        lines, edges = [], []
+        if mixed is not None:
+            paged = mixed.where("img is not null and doc is not null and page is not null").groupBy(F.col("img").cast("bigint").alias("img")).agg(F.min(F.struct(F.col("doc").cast("bigint").alias("doc"), F.col("page").cast("bigint").alias("page"))).alias("p")).select("img", "p.*")
+        if regions is not None:
+            rows = written(_region_lines(regions), "scan-regions")
+            several = small(rows.where("block <> 0").select("img").distinct())
+            lines.append(_stitched(rows, several))
+            edges.append(_region_edges(rows, several, small(paged) if paged is not None else None))
+        values = values_of(mixed, texts)
+        if values is not None:
+            values = written(values, "scan-values")
+            lines.append(_value_lines(values))
+            edges.append(_value_edges(values))
+        union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        self.lines = written(self._words(union(lines)), "scan-lines")
+        pages = paged.groupBy("doc").agg(F.countDistinct("page").alias("pages")) if paged is not None else self.lines.sparkSession.createDataFrame([], "doc bigint, pages bigint")
+        self.furniture = written(furniture(union(edges), small(pages)), "scan-furniture")
+        singles = self.lines.select(F.explode("words").alias("a")).where("a <> ''").groupBy("a").count()
+        compounds = self.lines.select(F.explode("compounds").alias("a")).groupBy("a").count()
+        halves = singles.select(F.lower("a").alias("word"), "a", "count").unionByName(compounds.select(F.lower("a").alias("word"), F.lit(None).cast("string").alias("a"), "count"))
+        self.vocabulary = written(halves.groupBy("word").agg(F.sum("count").alias("n"), F.collect_set("a").alias("forms")), "scan-vocabulary")
+        self.pairs = self.lines.where("b is not null").select("tbl", F.col("a_rec").alias("rec"), (F.col("line") - 1).alias("line"), "a", "b", F.col("rec").alias("next_rec"))
+        self.misread = written(misread_words(self.vocabulary), "scan-misread")
+        self.split = written(split_words(self.pairs, self.vocabulary), "scan-split")
+
+    @staticmethod
+    def _words(lines: DataFrame) -> DataFrame:
+        """(tbl, rec, line, a, a_rec, b, words, compounds): lines with their whole words and compounds, and the halves of a word
+        split at the end of the line before (a, in record a_rec) and going on here (b). Halves are no words of their own.
+        """
+        text = F.col("text")
+        lines = lines.withColumn("b", F.when(F.col("a").rlike(r"\p{L}$"), F.nullif(F.regexp_extract(text, _HEAD, 1), F.lit(""))))
+        lines = lines.withColumn("inner", F.when(F.col("b").isNotNull(), F.regexp_replace(text, _HEAD, "")).otherwise(text))
+        lines = lines.withColumn("inner", F.when(_half(text).isNotNull(), F.regexp_replace("inner", _SPLIT, "")).otherwise(F.col("inner")))
+        compounds = F.when(F.instr(text, "-") > 0, F.regexp_extract_all(text, F.lit(r"\p{L}+-\p{L}+"), F.lit(0)))
+        return lines.select("tbl", "rec", "line", "a", "a_rec", "b", _all_words(F.col("inner")).alias("words"), compounds.alias("compounds"))
 
     def word_noise(self) -> DataFrame:
         """(tbl, rec, noise) of split and misread words."""
-        single = small(self.decided.where("b = ''").select("a"), WORDS_LIMIT)
-        misread = self.words.join(single, "a", "left_semi").select("tbl", "rec", F.lit("misread").alias("noise"))
-        pair = self.pairs.join(self.decided.where("b <> ''"), ["a", "b"])
-        split = pair.where("split").select("tbl", "rec", F.lit("hyphen").alias("noise"))
-        first = pair.where("original is not null and at < length(a)").select("tbl", "rec", F.lit("misread").alias("noise"))
+        single = small(self.misread.select("a"), WORDS_LIMIT)
+        misread = self.lines.select("tbl", "rec", F.explode("words").alias("a")).join(single, "a", "left_semi").select("tbl", "rec", F.lit("misread").alias("noise"))
+        pair = self.pairs.join(small(self.split, WORDS_LIMIT), ["a", "b"])
         # A misreading in the second half belongs to the record of the next line.
-        second = pair.where("original is not null and at >= length(a)").select("tbl", F.col("next_rec").alias("rec"), F.lit("misread").alias("noise"))
-        return misread.unionByName(split).unionByName(first).unionByName(second).distinct()
+        place = F.when(F.col("at") < F.length("a"), F.col("rec")).otherwise(F.col("next_rec"))
+        found = F.array_compact(F.array(F.when(F.col("split"), F.struct("rec", F.lit("hyphen").alias("noise"))), F.when(F.col("original").isNotNull(), F.struct(place.alias("rec"), F.lit("misread").alias("noise")))))
+        return misread.unionByName(pair.select("tbl", F.inline(found)))
 
-    def found(self, mixed: DataFrame | None) -> DataFrame:
-        """(tbl, rec_id, noise), one row per record and kind of noise; mixed_result has the kinds of its regions."""
-        own = self.word_noise().unionByName(self.furniture.select("tbl", "rec", "noise")).distinct()
-        out = own.select("tbl", F.col("rec").alias("rec_id"), "noise")
-        if mixed is not None:
-            image = self.lines.where("tbl = 'regions'").select("rec", "img").distinct()
-            whole = own.where("tbl = 'regions'").join(image, "rec").join(mixed.select(F.col("img").cast("bigint").alias("img")).distinct(), "img").select(F.lit("mixed_result").alias("tbl"), F.col("img").alias("rec_id"), "noise").distinct()
-            out = out.unionByName(whole)
-        return out
+    def found(self) -> DataFrame:
+        """(tbl, rec_id, noise), one row per record and kind of noise."""
+        own = self.word_noise().unionByName(self.furniture.select("tbl", "rec", "noise"))
+        return own.select("tbl", F.col("rec").alias("rec_id"), "noise").distinct()
 
     def repaired(self) -> DataFrame:
-        """(tbl, img, text): the text of every image without headers and page numbers, split words joined, misread
-        words replaced, lines run on into paragraphs; formulas stand apart between $$ marks."""
-        fixes = self.words.join(small(self.decided.where("b = '' and original is not null").select("a", "original"), WORDS_LIMIT), "a")
-        fixes = fixes.groupBy("tbl", "rec", "y", "x").agg(F.map_from_entries(F.collect_set(F.struct("a", "original"))).alias("fixes"))
-        pair = self.pairs.join(self.decided.where("split and b <> ''"), ["a", "b"]).groupBy("tbl", "rec", "y", "x").agg(F.min(F.struct("a", "b", F.coalesce("original", F.concat("a", "b")).alias("whole"))).alias("pair"))
-        keep = self.lines.join(self.furniture.select("tbl", "rec", "y", "x").distinct(), ["tbl", "rec", "y", "x"], "left_anti")
-        rows = keep.join(fixes, ["tbl", "rec", "y", "x"], "left").join(pair, ["tbl", "rec", "y", "x"], "left")
-        line = F.struct("y", "x", "rec", "text", "formula", F.map_entries("fixes").alias("fixes"), F.col("pair.a").alias("a"), F.col("pair.whole").alias("whole"))
-        return rows.groupBy("tbl", "img").agg(F.sort_array(F.collect_list(line)).alias("lines")).mapInPandas(_paragraphs, "tbl string, img bigint, text string")
-
-
-_TOKEN = re.compile(r"[^\W_]+")
-
-
-def _paragraphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(tbl, rec_id, text): every record without headers and page numbers, split words joined, misread words replaced.
+
+        Whole images come out as paragraphs: lines run on, formulas stand apart between $$ marks. A region comes out
+        by itself, with the whole of a word split at its end and without the rest of one split before; where nothing but
+        noise was in it, with an empty text. Null texts have no row, repeated rows come out once.
+        """
+        word = F.struct(F.col("a"), F.lit(None).cast("string").alias("b"), F.col("original"), F.lit(None).cast("bigint").alias("line"), F.lit("word").alias("kind"))
+        words = self.lines.select("tbl", "rec", F.explode("words").alias("a")).join(small(self.misread.select("a", "original"), WORDS_LIMIT), "a").select("tbl", "rec", word.alias("fix"))
+        pair = self.pairs.join(small(self.split.where("split").select("a", "b", "original"), WORDS_LIMIT), ["a", "b"])
+        fix = lambda kind: F.struct("a", "b", F.coalesce("original", F.concat("a", "b")).alias("original"), "line", F.lit(kind).alias("kind"))
+        first = pair.select("tbl", "rec", fix("split").alias("fix"))
+        second = pair.where("tbl = 'regions'").select("tbl", F.col("next_rec").alias("rec"), fix("rest").alias("fix"))
+        none = F.lit(None).cast("string")
+        gone = self.furniture.select("tbl", "rec", F.struct(none.alias("a"), none.alias("b"), none.alias("original"), F.col("top").cast("bigint").alias("line"), F.lit("gone").alias("kind")).alias("fix"))
+        fixes = words.unionByName(first).unionByName(second).unionByName(gone).groupBy("tbl", "rec").agg(F.collect_set("fix").alias("fixes"))
+        parts = []
+        if self.regions is not None:
+            parts.append(self.regions.where("region_id is not null and text is not null").select(F.lit("regions").alias("tbl"), F.col("region_id").cast("bigint").alias("rec"), F.when(F.col("type") != "formula", _hyphens_at_ends(F.col("text"))).otherwise(F.col("text")).alias("text")).distinct())
+        if self.mixed is not None and "formatted_text" in self.mixed.columns:
+            parts.append(self.mixed.where("img is not null and formatted_text is not null").select(F.lit("mixed_result").alias("tbl"), F.col("img").cast("bigint").alias("rec"), _hyphens_at_ends(F.col("formatted_text")).alias("text")))
+        if self.texts is not None:
+            parts.append(self.texts.where("img is not null and text is not null").select(F.lit("text_result").alias("tbl"), F.col("img").cast("bigint").alias("rec"), _hyphens_at_ends(F.col("text")).alias("text")))
+        records = parts[0]
+        for p in parts[1:]:
+            records = records.unionByName(p)
+        records = normalised(records, "text", "text", fold=False).join(fixes, ["tbl", "rec"], "left")
+        return records.mapInPandas(_repairs, "tbl string, rec_id bigint, text string")
+
+
+def _repairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         texts = []
-        for lines in b["lines"]:
-            out, now, joined = [], "", False
-            for r in lines:
-                if r["formula"]:
-                    out += [now] * bool(now) + [f"$$\n{r['text']}\n$$"]
-                    now, joined = "", False
-                    continue
-                text = r["text"].strip()
-                if joined:
-                    text = re.sub(r"^[^\W_]+", "", text)  # the second half already stands in the line before
-                fixes = {f["key"]: f["value"] for f in r["fixes"]} if r["fixes"] is not None else {}
-                if fixes:
-                    text = _TOKEN.sub(lambda m, fixes=fixes: _cased(fixes[m.group()], m.group()) if m.group() in fixes else m.group(), text)
-                now += ("" if joined or not now else " ") + text
-                joined = r["a"] is not None
-                if joined:
-                    now = re.sub(rf"{re.escape(r['a'])}{_MARK}\s*$", lambda m, r=r: _cased(r["whole"], r["a"]), now)
-            texts.append("\n\n".join(out + [now] * bool(now)))
-        yield pd.DataFrame({"tbl": b["tbl"], "img": b["img"], "text": texts})
+        for tbl, text, fixes in zip(b["tbl"], b["text"], b["fixes"]):
+            by: dict[str, list] = {"word": [], "split": [], "rest": [], "gone": []}
+            for f in fixes if fixes is not None else ():
+                by[f["kind"]].append(f)
+            words = {f["a"]: f["original"] for f in by["word"]}
+            if tbl == "regions":
+                texts.append("" if by["gone"] else _line(text, words, by["split"][0] if by["split"] else None, bool(by["rest"])))
+            else:
+                texts.append(_paragraphs(text, words, {int(f["line"]): f for f in by["split"]}, {int(f["line"]) for f in by["gone"]}))
+        yield pd.DataFrame({"tbl": b["tbl"], "rec_id": b["rec"], "text": texts})
+
+
+def _line(text: str, words: dict[str, str], split, rest: bool) -> str:
+    """A line with its misread words replaced, the rest of a word split before it gone, the word split at its end whole."""
+    if rest:
+        text = re.sub(r"^\s*[^\W_]+", "", text).lstrip()
+    if words:
+        text = _TOKEN.sub(lambda m: _cased(words[m.group()], m.group()) if m.group() in words else m.group(), text)
+    if split is not None:
+        text = re.sub(rf"{re.escape(split['a'])}{_MARK}\s*$", lambda m: _cased(split["original"], split["a"]), text)
+    return text
+
+
+def _paragraphs(text: str, words: dict[str, str], splits: dict[int, object], gone: set[int]) -> str:
+    """Lines of a whole text run on. splits: by number of the line among those that are no formula; gone: by place from the top (1)."""
+    out: list[str] = []
+    now, formula, number, place, rest = "", None, 0, 0, False
+
+    def close() -> None:
+        nonlocal now
+        if now:
+            out.append(now)
+        now = ""
+
+    for line in text.split("\n"):
+        if formula is not None:
+            formula.append(line)
+            if line == "$$":
+                out.append("\n".join(formula))
+                formula = None
+            continue
+        if line == "$$":
+            close()
+            formula, place = [line], place + 1
+            continue
+        if not line.strip(" "):
+            continue
+        place += 1
+        split = splits.get(number)
+        number += 1
+        if place in gone:
+            continue
+        piece = _line(line.strip(), words, split, rest)
+        wide = now and piece and "⺀" <= now[-1] <= "￯" and "⺀" <= piece[0] <= "￯"
+        # What is left of a line behind the rest of a split word may begin with its punctuation.
+        tight = wide or not now or not piece or (rest and not piece[:1].isalnum() and piece[:1] not in "([{$“„«")
+        now += ("" if tight else " ") + piece
+        rest = split is not None
+    if formula is not None:
+        out.append("\n".join(formula))
+    close()
+    return "\n\n".join(out)
 
 
 def _cased(word: str, like: str) -> str:

@@ -1,9 +1,9 @@
 """Evaluation texts inside a training corpus.
 
 The word n-grams of the evaluation items, folded, form a hash set that is broadcast block by block
-(`GRAMS_PER_BLOCK` bounds a block). Every document is scanned once per block: its words become
-numbers (0: in no item), windows without a 0 are looked up, and a hit is verified word by word,
-as the key of the set is the window itself and not a digest of it.
+(`BLOCK_BYTES` bounds a block). Every document is scanned once per block: its words become numbers
+(0: in no item), windows without a 0 are hashed and looked up, and a hit is verified word by word.
+The set is packed: sorted hashes with the places of their windows in one array of word numbers.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: Consecutive words that make a leak.
 WORDS = 13
-#: N-grams of evaluation items broadcast at once.
-GRAMS_PER_BLOCK = 1_000_000
+#: Memory of a block in a Python worker, about, and what a window and a new word of the items take of it.
+BLOCK_BYTES, WINDOW_BYTES, WORD_BYTES = 64_000_000, 28, 120
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -29,53 +29,81 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
+def _hashes(ids: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of every window of n numbers."""
+    out = np.zeros(len(ids) - n + 1, np.uint64)
+    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    for k in range(n):
+        out = out * np.uint64(0xD1B54A32D192ED03) + mixed[k : k + len(out)]
+    return out
+
+
 class Grams:
-    """The n-grams of some items: word -> number, window of numbers -> items."""
-
-    def __init__(self, items: list[tuple[int, str]], n: int) -> None:
-        self.n, self.number, self.items = n, {}, {}
-        for item, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words(text)]
-            for k in range(len(ids) - n + 1):
-                self.items.setdefault(tuple(ids[k : k + n]), set()).add(item)
-        # The last word of a window rules most windows out before a tuple is made.
-        self.ends = np.zeros(len(self.number) + 1, bool)
-        self.starts = np.zeros(len(self.number) + 1, bool)
-        for g in self.items:
-            self.starts[g[0]] = self.ends[g[-1]] = True
-
-    def hits(self, tokens: list[str]) -> list[tuple[int, set]]:
-        """(window start, items) of every window of the document that is in an item."""
+    """The n-grams of some items (id, words): word -> number, hashes of windows -> where they stand and in which item."""
+
+    def __init__(self, items: list[tuple[int, list[str]]], n: int) -> None:
+        self.n, self.number = n, {}
+        number = self.number
+        self.ids = np.fromiter((number.setdefault(w, len(number) + 1) for _, ws in items for w in ws), np.int32)
+        starts, owners, at = [], [], 0
+        for item, ws in items:
+            starts.append(np.arange(at, at + len(ws) - n + 1))
+            owners.append(np.full(len(ws) - n + 1, item, np.int64))
+            at += len(ws)
+        starts, owners = np.concatenate(starts), np.concatenate(owners)
+        hashes = _hashes(self.ids, n)[starts]
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.starts, self.items = hashes[order], starts[order], owners[order]
+        # The first and last words of windows rule most others out before they are hashed.
+        self.first, self.last = np.zeros(len(number) + 1, bool), np.zeros(len(number) + 1, bool)
+        self.first[self.ids[starts]] = self.last[self.ids[starts + n - 1]] = True
+
+    def hits(self, tokens: list[str]) -> list[tuple[int, int]]:
+        """(window start, item) of every window of the document that is in an item."""
         n = self.n
         if len(tokens) < n:
             return []
-        number = self.number
-        ids = np.fromiter((number.get(w, 0) for w in tokens), np.int64, len(tokens))
+        ids = np.fromiter(map(self.number.get, tokens, [0] * len(tokens)), np.int32, len(tokens))
         known = np.concatenate(([0], np.cumsum(ids > 0)))
         at = np.flatnonzero(known[n:] - known[:-n] == n)
-        at = at[self.starts[ids[at]] & self.ends[ids[at + n - 1]]]
+        at = at[self.first[ids[at]] & self.last[ids[at + n - 1]]]
+        if not len(at):
+            return []
+        # Only the stretch that holds candidates is hashed.
+        low = int(at[0])
+        hashes = _hashes(ids[low : int(at[-1]) + n], n)[at - low]
+        lo, hi = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
         out = []
-        for k in at.tolist():
-            found = self.items.get(tuple(ids[k : k + n].tolist()))
-            if found:
-                out.append((k, found))
+        for k, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
+            window = ids[k : k + n]
+            out += [(k, int(self.items[j])) for j in range(a, b) if np.array_equal(self.ids[self.starts[j] : self.starts[j] + n], window)]
         return out
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, n: int, limit: int) -> Iterator[Grams]:
-    """The items, in blocks of at most `limit` windows (or one item); the driver holds one block at a time."""
+def _pieces(ws: list[str], n: int, limit: int) -> Iterator[list[str]]:
+    """The words of an item in pieces of at most `limit` windows that lose no window."""
+    for k in range(0, len(ws) - n + 1, limit):
+        yield ws[k : k + limit + n - 1]
+
+
+def _blocks(items: DataFrame, id_col: str, text_col: str, n: int, size: int) -> Iterator[Grams]:
+    """The items in blocks of about `size` bytes; the driver holds one block at a time, and long items are divided."""
     rows = items.select(F.col(id_col).cast("bigint"), F.col(text_col)).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).distinct()
-    block: list[tuple[int, str]] = []
-    size = 0
+    block: list[tuple[int, list[str]]] = []
+    seen: set[str] = set()
+    taken = 0
     for i, text in rows.toLocalIterator():
-        m = max(0, len(words(text)) - n + 1)
-        if not m:
-            continue  # too short to hold a passage of n words
-        if block and size + m > limit:
-            yield Grams(block, n)
-            block, size = [], 0
-        block.append((i, text))
-        size += m
+        # Items of fewer than n words have no window.
+        for piece in _pieces(words(text), n, max(1, size // (WINDOW_BYTES + WORD_BYTES))):
+            more = len(piece) * WINDOW_BYTES + len(set(piece) - seen) * WORD_BYTES
+            if block and taken + more > size:
+                yield Grams(block, n)
+                block, seen, taken = [], set(), 0
+                more = len(piece) * WINDOW_BYTES + len(set(piece)) * WORD_BYTES
+            block.append((i, piece))
+            seen.update(piece)
+            taken += more
     if block:
         yield Grams(block, n)
 
@@ -86,7 +114,7 @@ def _scan(shared):
         for b in batches:
             docs, items = [], []
             for doc, text in zip(b["doc"].tolist(), b["text"]):
-                found = set().union(*(s for _, s in grams.hits(words(text))))
+                found = {item for _, item in grams.hits(words(text))}
                 docs += [doc] * len(found)
                 items += sorted(found)
             yield pd.DataFrame({"doc_id": docs, "item_id": items}, dtype="int64")
@@ -94,14 +122,14 @@ def _scan(shared):
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WORDS, grams_per_block: int = GRAMS_PER_BLOCK) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id): every document and item that share n consecutive words; each pair once.
 
     Null ids and texts have no words; items of fewer than n words cannot leak. No items or no documents: no rows.
     """
     docs = documents.select(F.col(doc_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
     out = None
-    for grams in _blocks(items, item_col, item_text_col, n, grams_per_block):
+    for grams in _blocks(items, item_col, item_text_col, n, block_bytes):
         part = docs.mapInPandas(_scan(documents.sparkSession.sparkContext.broadcast(grams)), "doc_id bigint, item_id bigint")
         out = part if out is None else out.unionByName(part)
     if out is None:
@@ -109,18 +137,22 @@ def leaks(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_
     return out.distinct()
 
 
-def _cut(text: str, grams: Grams) -> str:
+def _spans(text: str, grams: Grams) -> list[tuple[int, int]]:
+    """Where leaked passages stand in a text."""
     folded = text.casefold()
     if len(folded) != len(text):
         # Folding changed lengths (sharp s and the like): fold word by word instead, to keep the places.
-        spans = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+        spans = [m.span() for m in _WORD.finditer(text)]
         tokens = [text[a:b].casefold() for a, b in spans]
     else:
-        spans = [(m.start(), m.end()) for m in _WORD.finditer(folded)]
+        spans = [m.span() for m in _WORD.finditer(folded)]
         tokens = [folded[a:b] for a, b in spans]
+    return [(spans[k][0], spans[k + grams.n - 1][1]) for k, _ in grams.hits(tokens)]
+
+
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
     out, end = [], 0
-    for k, _ in grams.hits(tokens):
-        a, b = spans[k][0], spans[k + grams.n - 1][1]
+    for a, b in sorted(spans):
         if a > end:
             out.append(text[end:a])
         end = max(end, b)
@@ -128,17 +160,28 @@ def _cut(text: str, grams: Grams) -> str:
     return "".join(out)
 
 
-def _cutter(shared):
+def _finder(shared):
+    @F.pandas_udf("array<bigint>")
+    def find(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [] if t is None else [x for span in _spans(t, shared.value) for x in span])
+
+    return find
+
+
+def _cutter():
     @F.pandas_udf("string")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else _cut(t, shared.value))
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or not len(s) else _without(t, list(zip(s[::2], s[1::2]))) for t, s in zip(texts, spans)])
 
     return cut
 
 
-def without_leaks(documents: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WORDS, grams_per_block: int = GRAMS_PER_BLOCK) -> DataFrame:
-    """documents with all leaked passages cut out of text_col; other columns, rows and null texts are unchanged."""
-    out = documents
-    for grams in _blocks(items, item_col, item_text_col, n, grams_per_block):
-        out = out.withColumn(text_col, _cutter(documents.sparkSession.sparkContext.broadcast(grams))(F.col(text_col)))
-    return out
+def without_leaks(documents: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """documents with all leaked passages cut out of text_col; other columns, rows and null texts are unchanged.
+
+    The passages of all blocks are found in the text as it was and cut at once, so their size does not matter.
+    """
+    finders = [_finder(documents.sparkSession.sparkContext.broadcast(g))(F.col(text_col)) for g in _blocks(items, item_col, item_text_col, n, block_bytes)]
+    if not finders:
+        return documents
+    return documents.withColumn(text_col, _cutter()(F.col(text_col), F.concat(*finders)))

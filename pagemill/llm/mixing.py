@@ -3,7 +3,8 @@
 Within a source documents are ordered by exponential keys divided by a quality weight
 (Efraimidis-Spirakis); a budget is met by complete epochs first and then by the documents of the
 smallest keys up to the rest. The prefix sum is found by narrowing an interval of keys with sums
-per bucket, so no source is ever sorted as a whole.
+per bucket, so no source is ever sorted as a whole. Budgets and intervals are tables of one row a
+source; the driver holds two numbers.
 """
 
 from __future__ import annotations
@@ -13,19 +14,20 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.session import written
+from pagemill.session import small, written
 
 #: Folder of the public tokenizers, and the vocabulary that sizes are counted in.
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
 #: Splits text before the byte pairs are merged (fixed value of these vocabularies).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Buckets per round, documents of an interval that may be ordered at once, rounds.
-BUCKETS, LAST, ROUNDS = 1024, 50_000, 6
-#: Sources a target table may list.
-MAX_SOURCES = 10_000
+#: Bits of a sampling key, and bits by which a round narrows an interval.
+KEY_BITS, ROUND_BITS = 50, 10
+#: Documents of an interval that may be ordered at once.
+LAST = 50_000
 
 _encoders: dict[str, object] = {}
 
@@ -40,9 +42,9 @@ def _encoder(path: str):
     return _encoders[path]
 
 
-def _sizes(path: str):
+def _sizes(name: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(path).encode_ordinary
+        encode = _encoder(SparkFiles.get(name)).encode_ordinary
         for b in batches:
             n = [len(encode(t)) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "tokens": n, "bytes": [len(t.encode("utf-8", "surrogatepass")) for t in b["text"]]})
@@ -55,66 +57,58 @@ def default_quality() -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.1), F.col("bytes") / F.greatest(F.col("tokens"), F.lit(1)) / 4))
 
 
-def sized(documents: DataFrame, id_col: str, text_col: str, source_col: str, sources: list[str], tokenizer: str, quality: Column | None, seed: int) -> DataFrame:
-    """(doc_id, source, tokens, key): documents of the listed sources with their size and sampling key; repeated ids count once."""
-    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).where(F.col("source").isin(sources) & F.col("doc_id").isNotNull() & (F.coalesce(F.length("text"), F.lit(0)) > 0))
-    counted = rows.mapInPandas(_sizes(tokenizer), "doc_id bigint, source string, tokens bigint, bytes bigint").groupBy("doc_id").agg(F.min(F.struct("source", "tokens", "bytes")).alias("r")).select("doc_id", "r.*").where("tokens > 0")
+def sized(documents: DataFrame, sources: DataFrame, id_col: str, text_col: str, source_col: str, tokenizer: str, quality: Column | None, seed: int) -> DataFrame:
+    """(doc_id, source, tokens, key): documents of the listed sources with their size and sampling key; repeated ids count once.
+
+    The vocabulary file travels to the executors with the job.
+    """
+    documents.sparkSession.sparkContext.addFile(tokenizer)
+    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull() & (F.coalesce(F.length("text"), F.lit(0)) > 0)).join(small(sources), "source", "left_semi")
+    counted = rows.select("doc_id", "source", "text").mapInPandas(_sizes(os.path.basename(tokenizer)), "doc_id bigint, source string, tokens bigint, bytes bigint").groupBy("doc_id").agg(F.min(F.struct("source", "tokens", "bytes")).alias("r")).select("doc_id", "r.*").where("tokens > 0")
     uniform = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     key = -F.log(uniform) / (default_quality() if quality is None else quality)
-    # key / (1 + key) keeps the order and lies in 0 to 1, which buckets can divide.
-    return counted.withColumn("key", key / (key + 1)).select("doc_id", "source", "tokens", "key")
+    # key / (1 + key) keeps the order and lies in 0 to 1; as a whole number it can be divided without rounding.
+    return counted.withColumn("key", F.floor(key / (key + 1) * float(1 << KEY_BITS)).cast("bigint")).select("doc_id", "source", "tokens", "key")
 
 
-def budgets(targets: list[tuple[str, float, int]], sizes: dict[str, int], total: float | None) -> dict[str, float]:
-    """Tokens that each source with documents should give.
+def budgets(targets: DataFrame, sizes: DataFrame, total: float | None) -> DataFrame:
+    """(source, size, max_repeat, budget) of the sources that have documents. targets: source, target_share, max_repeat; sizes: source, size.
 
     Without a total, the largest one at which every source with documents reaches its share; shares of
     sources without documents fall to the others in proportion. With a total, a source gives its share of it or all it may.
     """
-    live = {s: (share, sizes[s] * repeat) for s, share, repeat in targets if sizes.get(s) and share > 0 and repeat > 0}
-    if not live:
-        return {}
-    if total is None:
-        total = min(most / share for share, most in live.values())
-    else:
-        total = total / sum(share for share, _ in live.values())
-    return {s: min(share * total, most) for s, (share, most) in live.items()}
-
-
-def _narrow(docs: DataFrame, rest: dict[str, float]) -> dict[str, tuple[float, float, float]]:
-    """Per source: (lo, hi, rest). Documents of keys below lo fit wholly; those from lo to hi hold the end of the rest."""
-    at = {s: (0.0, 1.0, r) for s, r in rest.items() if r > 0}
-    open_ = set(at)
-    for _ in range(ROUNDS):
-        if not open_:
-            break
-        lo, width = F.lit(None).cast("double"), F.lit(None).cast("double")
-        for s in open_:
-            a, b, _ = at[s]
-            lo, width = F.when(F.col("source") == s, F.lit(a)).otherwise(lo), F.when(F.col("source") == s, F.lit((b - a) / BUCKETS)).otherwise(width)
-        inside = docs.withColumn("lo", lo).withColumn("width", width).where("lo is not null and key >= lo and key < lo + width * 1024")
-        # At most BUCKETS rows a source reach the driver.
-        sums = inside.groupBy("source", F.floor((F.col("key") - F.col("lo")) / F.col("width")).alias("bucket")).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")).collect()
-        per: dict[str, list] = {}
-        for r in sums:
-            per.setdefault(r["source"], []).append((r["bucket"], r["tokens"], r["docs"]))
-        for s in list(open_):
-            a, b, left = at[s]
-            step = (b - a) / BUCKETS
-            found = None
-            for k, tokens, n in sorted(per.get(s, [])):
-                if tokens >= left:
-                    found = (a + k * step, a + (k + 1) * step, left, n)
-                    break
-                left -= tokens
-            if found is None:
-                at[s] = (b, b, left)
-                open_.discard(s)
-            else:
-                at[s] = found[:3]
-                if found[3] <= LAST:
-                    open_.discard(s)
-    return at
+    live = targets.join(sizes, "source").where("size > 0 and target_share > 0 and max_repeat > 0").withColumn("most", F.col("size") * F.col("max_repeat"))
+    whole = live.agg(F.min(F.col("most") / F.col("target_share")).alias("reach"), F.sum("target_share").alias("shares")).first()
+    total = (whole["reach"] or 0.0) if total is None else total / (whole["shares"] or 1.0)
+    return live.select("source", "size", "max_repeat", F.least(F.col("target_share") * F.lit(float(total)), F.col("most").cast("double")).alias("budget"))
+
+
+def intervals(docs: DataFrame, rest: DataFrame) -> DataFrame:
+    """(source, lo, hi, left): documents of keys below lo fit wholly into the rest; those from lo to before hi hold the end of what is left.
+
+    docs: source, tokens, key; rest: source, left. Each round sums the tokens of 2 ** ROUND_BITS buckets of every open interval.
+    """
+    state = rest.select("source", F.lit(0).cast("bigint").alias("lo"), F.lit(KEY_BITS).alias("bits"), F.col("left").cast("double").alias("left"), (F.col("left") > 0).alias("open"))
+    while True:
+        state = written(state, "mix-intervals")
+        if state.where("open").isEmpty():
+            return state.select("source", "lo", F.when(F.col("bits") < 0, F.col("lo")).otherwise(F.expr("lo + shiftleft(1L, bits)")).alias("hi"), "left")
+        now = state.where("open").withColumn("step", F.greatest(F.col("bits") - ROUND_BITS, F.lit(0)))
+        inside = docs.join(small(now.select("source", "lo", "bits", "step")), "source").where("key >= lo and key - lo < shiftleft(1L, bits)")
+        sums = inside.groupBy("source", F.expr("shiftright(key - lo, step)").alias("bucket")).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
+        # One row a bucket, so a source has 2 ** ROUND_BITS of them at most.
+        sums = sums.withColumn("upto", F.sum("tokens").over(Window.partitionBy("source").orderBy("bucket")))
+        ends = sums.join(small(now.select("source", "left")), "source").groupBy("source").agg(F.max("upto").alias("all"), F.min(F.when(F.col("upto") >= F.col("left"), F.struct("bucket", "tokens", "upto", "docs"))).alias("end"))
+        found = F.col("end").isNotNull()
+        after = now.join(ends, "source", "left").select(
+            "source",
+            F.when(found, F.expr("lo + shiftleft(cast(end.bucket as bigint), step)")).otherwise(F.expr("lo + shiftleft(1L, bits)")).alias("lo"),
+            # Where all fits, the interval is empty.
+            F.when(found, F.col("step")).otherwise(-1).alias("bits"),
+            F.when(found, F.col("left") - F.col("end.upto") + F.col("end.tokens")).otherwise(F.col("left") - F.coalesce("all", F.lit(0))).alias("left"),
+            F.coalesce(found & (F.col("end.docs") > LAST) & (F.col("step") > 0), F.lit(False)).alias("open"),
+        )
+        state = state.where("not open").unionByName(after)
 
 
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokenizer: str | None = None, quality: Column | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -123,34 +117,27 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = N
     chosen: doc_id, source, tokens, copies - every document used, at most max_repeat times. shares: source,
     target_share, documents, tokens, actual_share, one row per target source, with zeros where it has no documents.
     Null or unlisted sources, null or empty texts and null ids are not used. A source listed twice counts with
-    its first share in order. The document at the end of a budget is used if that comes nearer to it.
+    its least share. The document at the end of a budget is used if that comes nearer to it.
     """
-    rows = targets.where("source is not null").groupBy("source").agg(F.min(F.struct("target_share", "max_repeat")).alias("t")).limit(MAX_SOURCES + 1).select("source", "t.*").collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} target sources")
-    wanted = [(r["source"], float(r["target_share"] or 0), int(r["max_repeat"] or 0)) for r in rows]
-    path = tokenizer or os.path.join(TOKENIZERS, VOCABULARY)
-    docs = written(sized(documents, id_col, text_col, source_col, [s for s, _, _ in wanted], path, quality, seed), "mix-docs")
-    sizes = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
-    budget = budgets(wanted, sizes, total_tokens)
-    repeat = {s: m for s, _, m in wanted}
-    epochs = {s: min(int(b // sizes[s]), repeat[s]) for s, b in budget.items()}
-    rest = {s: b - epochs[s] * sizes[s] for s, b in budget.items() if epochs[s] < repeat[s]}
-    ends = _narrow(docs, rest)
-    full, lo, hi, left = F.lit(0), F.lit(0.0), F.lit(0.0), F.lit(0.0)
-    for s in budget:
-        a, b, r = ends.get(s, (0.0, 0.0, 0.0))
-        is_s = F.col("source") == s
-        full, lo, hi, left = F.when(is_s, epochs[s]).otherwise(full), F.when(is_s, a).otherwise(lo), F.when(is_s, b).otherwise(hi), F.when(is_s, r).otherwise(left)
-    marked = docs.withColumns({"full": full, "lo": lo, "hi": hi, "left": left})
+    listed = targets.where("source is not null").groupBy("source").agg(F.min(F.struct(F.coalesce("target_share", F.lit(0.0)).cast("double").alias("target_share"), F.coalesce("max_repeat", F.lit(0)).cast("int").alias("max_repeat"))).alias("t")).select("source", "t.*")
+    listed = written(listed, "mix-targets")
+    docs = written(sized(documents, listed.select("source"), id_col, text_col, source_col, tokenizer or os.path.join(TOKENIZERS, VOCABULARY), quality, seed), "mix-docs")
+    plan = budgets(listed, docs.groupBy("source").agg(F.sum("tokens").alias("size")), total_tokens)
+    plan = plan.withColumn("full", F.least(F.floor(F.col("budget") / F.col("size")).cast("int"), F.col("max_repeat")))
+    plan = written(plan.select("source", "full", F.when(F.col("full") < F.col("max_repeat"), F.col("budget") - F.col("full") * F.col("size")).otherwise(0.0).alias("left")), "mix-budgets")
+    ends = written(plan.select("source", "full").join(intervals(docs, plan.select("source", "left")), "source"), "mix-ends")
+    marked = docs.join(small(ends), "source")
     last = marked.where("key >= lo and key < hi")
     outer = marked.where("not (key >= lo and key < hi)").withColumn("more", F.when(F.col("key") < F.col("lo"), 1).otherwise(0))
     up_to = F.sum("tokens").over(Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     last = last.withColumn("sum", up_to).withColumn("more", F.when(F.col("sum") - F.col("tokens") / 2 <= F.col("left"), 1).otherwise(0)).drop("sum")
     chosen = outer.unionByName(last).withColumn("copies", (F.col("full") + F.col("more")).cast("int")).where("copies > 0").select("doc_id", "source", "tokens", "copies")
+    return chosen, shares_of(chosen, listed)
+
+
+def shares_of(chosen: DataFrame, listed: DataFrame) -> DataFrame:
     used = chosen.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
-    plan = documents.sparkSession.createDataFrame([(s, share) for s, share, _ in wanted], "source string, target_share double")
-    # One row per target source, MAX_SOURCES at most, so the sum over all may be one window.
-    whole = F.sum("tokens").over(Window.partitionBy())
-    shares = plan.join(used, "source", "left").withColumn("whole", whole).select("source", "target_share", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.round(F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)), 6).alias("actual_share"))
-    return chosen, shares
+    # The sum over all is one row, joined by a key that every row has.
+    whole = used.agg(F.sum("tokens").alias("whole")).withColumn("one", F.lit(1))
+    out = listed.select("source", "target_share", F.lit(1).alias("one")).join(used, "source", "left").join(F.broadcast(whole), "one", "left")
+    return out.select("source", "target_share", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.round(F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)), 6).alias("actual_share"))

@@ -127,6 +127,13 @@ def test_copies(spark, capacity):
     assert sorted(map(tuple, members.collect())) == sorted((min(g), k) for g in groups.values() for k in g if k != min(g))
 
 
+def test_hot_copies_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(copies, "HOT_COPIES", 20)
+    df = spark.createDataFrame([(k, "A" if k % 2 else f"b_{k % 7}") for k in range(300)], "id bigint, latex string")
+    got = [sorted(map(tuple, copies.formatting_copies(df, hot_limit=limit)[1].collect())) for limit in (0, 100)]
+    assert got[0] == got[1] and len(got[0]) == 300 - 8
+
+
 def test_canonical():
     same = [r"x=1\,(a=2, b=3).", "$X = 1 (b=3;\na=2)$"]
     assert len({copies.canonical(t) for t in same}) == 1
@@ -322,13 +329,23 @@ def test_leaks(spark):
     want = sorted({(d, i) for d, t in docs if t for i, s in items if grams(t) & grams(s)})
     D = spark.createDataFrame(docs, "doc_id bigint, text string")
     E = spark.createDataFrame(items + [(99, None)], "item_id bigint, text string")
-    for block in (10, 10**6):
-        assert sorted(map(tuple, leaks.leaks(D, E, grams_per_block=block).collect())) == want
+    for block in (2_000, 10**7):
+        assert sorted(map(tuple, leaks.leaks(D, E, block_bytes=block).collect())) == want
     clean = leaks.without_leaks(D, E)
     assert leaks.leaks(clean, E).count() == 0 and clean.count() == len(docs)
     assert leaks.leaks(D, E.where("false")).count() == 0
 
 
+def test_removal_does_not_depend_on_blocks(spark):
+    words = [f"w{k}" for k in range(40)]
+    D = spark.createDataFrame([(1, " ".join(words)), (2, "Straße " + " ".join(words[:16])), (3, None)], "doc_id bigint, text string")
+    E = spark.createDataFrame([(1, " ".join(words[:16])), (2, " ".join(words[10:26])), (3, " ".join(words[5:40:2]))], "item_id bigint, text string")
+    want = {1: " " + " ".join(words[26:]), 2: "Straße ", 3: None}
+    for block in (150, 3_000, 10**7):
+        assert dict(leaks.without_leaks(D, E, block_bytes=block).collect()) == want
+    assert dict(leaks.without_leaks(D, E.where("false")).collect())[1] == " ".join(words)
+
+
 # Mixing.
 
 
@@ -350,16 +367,32 @@ def test_mix(spark):
 def test_narrowing_equals_sorting(spark, monkeypatch):
     monkeypatch.setattr(mixing, "LAST", 3)
     rng = random.Random(13)
-    rows = [(k, "a", rng.randrange(1, 50), rng.random()) for k in range(2000)]
-    df = spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint, key double")
-    total, lo_want = 0, None
-    for r in sorted(rows, key=lambda r: r[3]):
+    rows = [(k, "ab"[k % 2], rng.randrange(1, 50), rng.randrange(1 << mixing.KEY_BITS)) for k in range(4000)] + [(9000 + k, "c", 5, 77) for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint, key bigint")
+    rest = {"a": 12_345.0, "b": 1e9, "c": 22.0, "none": 5.0, "full": 0.0}
+    got = {r["source"]: r for r in mixing.intervals(df, spark.createDataFrame(list(rest.items()), "source string, left double")).collect()}
+    total = 0
+    for r in sorted((r for r in rows if r[1] == "a"), key=lambda r: r[3]):
         total += r[2]
-        if total >= 12_345:
-            lo_want = r[3]
+        if total >= rest["a"]:
             break
-    lo, hi, _ = mixing._narrow(df, {"a": 12_345.0})["a"]
-    assert lo <= lo_want < hi and sum(lo <= r[3] < hi for r in rows) <= 3
+    inside = [x for x in rows if x[1] == "a" and got["a"]["lo"] <= x[3] < got["a"]["hi"]]
+    assert r in inside and len(inside) <= 3
+    assert got["a"]["left"] == rest["a"] - sum(x[2] for x in rows if x[1] == "a" and x[3] < got["a"]["lo"])
+    assert got["b"]["lo"] == got["b"]["hi"] == 1 << mixing.KEY_BITS
+    # Equal keys cannot be told apart: the interval ends at the key itself.
+    assert (got["c"]["lo"], got["c"]["hi"], got["c"]["left"]) == (77, 78, 22.0)
+    assert set(got) == set(rest)
+
+
+def test_thousands_of_sources(spark):
+    n = 5000
+    D = spark.range(3 * n).selectExpr("id as doc_id", f"concat('source ', id % {n}) as source", "concat('some words of document ', id) as text")
+    T = spark.range(n).selectExpr("concat('source ', id) as source", f"1.0D / {n} as target_share", "2 as max_repeat")
+    chosen, shares = mixing.mix(D, T, total_tokens=20 * n)
+    got = shares.agg(F.count("*").alias("n"), F.min("documents").alias("least"), F.sum("actual_share").alias("all")).first()
+    assert got["n"] == n and got["least"] >= 1 and abs(got["all"] - 1) < 0.01
+    assert chosen.agg(F.max("copies")).first()[0] <= 2
 
 
 # Garbled text.

@@ -108,7 +108,8 @@ def _depths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def bucketed(partials: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """partials with their bucket. partials: a written table with a column key."""
-    placed = partials.withColumn("bucket", F.lit(b""))
+    # Empty, but not a constant: the join below shall stay one of equal buckets.
+    placed = partials.withColumn("bucket", F.substring("key", F.lit(1), F.lit(0)))
     while True:
         sizes = placed.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("key").alias("lo"), F.max("key").alias("hi"))
         over = written(sizes.where((F.col("rows") > capacity) & (F.col("lo") != F.col("hi"))).select("bucket", "lo", "hi").mapInPandas(_depths, "bucket binary, depth int"), "copy-split")

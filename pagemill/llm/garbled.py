@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from pagemill.session import hash_sample
 
 #: Documents, about, that the dictionaries are trained on; bytes of a dictionary; cost of a step of a chain in bytes.
-SAMPLE_DOCS, DICTIONARY_BYTES, STEP_COST = 3000, 32_768, 1.0
+SAMPLE_DOCS, DICTIONARY_BYTES, STEP_COST = 3000, 32_768, 0.5
+#: Longest document, in characters, that dictionaries are trained on.
+SAMPLE_LONGEST = 50_000
 #: Steps a chain may have; text around a run that is compressed with it.
 DEPTH, AROUND = 4, 24
 
@@ -192,7 +194,7 @@ def _language(lang: str | None) -> str:
 
 def train(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_DOCS) -> dict[str, bytes]:
     """A dictionary per language from about `sample` documents (at most twice as many), chosen by the hash of the text; documents with candidate chains are left out."""
-    texts_of = documents.select(F.col(lang_col).cast("string"), F.col(text_col).alias("text")).where("text is not null and text <> ''")
+    texts_of = documents.select(F.col(lang_col).cast("string"), F.col(text_col).alias("text")).where("text is not null and text <> ''").where(F.length("text") <= SAMPLE_LONGEST)
     rows = hash_sample(texts_of, sample, "text").collect()
     texts: dict[str, list[bytes]] = {}
     for lang, text in rows:

@@ -3,7 +3,7 @@
 Compatibility normalisation (composed), full case folding, mapped white space and removal of
 default-ignorable characters, plus look-alike letters of other scripts inside Latin text. Values
 of plain ASCII need no Python: they are folded in the JVM. Others are worked on once per distinct
-value of a batch.
+value a task meets. A value is odd if its normal form differs from it.
 """
 
 from __future__ import annotations
@@ -133,11 +133,31 @@ def normalise(text: str, fold: bool = True) -> str:
     return out
 
 
-def _per_distinct(function, values: pd.Series) -> list:
-    done: dict[str, object] = {}
+class _Settled(dict):
+    """For str.translate: what differs in compatibility form but stands for no letter (punctuation, raised digits ...) in that form."""
+
+    def __missing__(self, code: int) -> str | int:
+        c = chr(code)
+        counts = c.isascii() or _wide.match(c) or _spaces.match(c) or _ignorable.match(c) or _stands_for_letter(c)
+        self[code] = out = code if counts else unicodedata.normalize("NFKC", c)
+        return out
+
+
+_settled = _Settled()
+
+
+def differs(text: str) -> bool:
+    """Whether a text is in another than its normal form, apart from letter case and from signs that stand for no letter."""
+    return normalise(text, fold=False) != unicodedata.normalize("NFC", text).translate(_settled) or unicodedata.normalize("NFC", text) != text
+
+
+def _per_distinct(function, values: pd.Series, done: dict, most: int = 100_000) -> list:
+    """function of every value, once per distinct one; done is kept from batch to batch and emptied when it holds `most`."""
     out = []
     for v in values:
         if v not in done:
+            if len(done) >= most:
+                done.clear()
             done[v] = function(v)
         out.append(done[v])
     return out
@@ -154,8 +174,10 @@ def normalised(df: DataFrame, text_col: str, out_col: str = "normal", fold: bool
     """
 
     @F.pandas_udf("string")
-    def odd_form(values: pd.Series) -> pd.Series:
-        return pd.Series(_per_distinct(lambda v: None if v is None else normalise(v, fold), values))
+    def odd_form(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        done: dict = {None: None}
+        for values in batches:
+            yield pd.Series(_per_distinct(lambda v: normalise(v, fold), values, done))
 
     text = F.col(text_col)
     # The UDF gets null for plain values, so that they do not travel to Python and back.
@@ -164,14 +186,16 @@ def normalised(df: DataFrame, text_col: str, out_col: str = "normal", fold: bool
 
 
 def _flagged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    done: dict = {}
     for b in batches:
-        found = _per_distinct(kinds, b["text"])
+        # The normal form decides; the kinds only say why.
+        found = _per_distinct(lambda t: (kinds(t) or ["other"]) if differs(t) else [], b["text"], done)
         keep = [bool(k) for k in found]
         yield pd.DataFrame({"tbl": b["tbl"][keep], "rec_id": b["rec_id"][keep], "kinds": [k for k in found if k]})
 
 
 def odd_records(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
-    """(tbl, rec_id, kinds) of every record with odd characters. tables: name -> (table, id column, text column).
+    """(tbl, rec_id, kinds) of every record whose text is in another than its normal form. tables: name -> (table, id column, text column).
 
     Repeated rows come out once, with the kinds of all of them. Null texts and plain ASCII texts have none.
     """

@@ -174,6 +174,12 @@ def test_trie():
 )
 def test_kinds(text, want):
     assert lookalikes.kinds(text) == want
+    assert lookalikes.differs(text) == bool(want)
+
+
+@pytest.mark.parametrize("text, want", [("（全角）：，！ “q” … x² ½", False), ("ﬁ … x²", True), ("q̄", False), ("Ａ，", True), ("\u2003a", True), ("Grüße – ok", False)])
+def test_signs_that_stand_for_no_letter(text, want):
+    assert lookalikes.differs(text) == want
 
 
 def test_normal_forms(spark):
@@ -415,6 +421,15 @@ def test_garbled(spark):
     assert restored[2000] == "Note " + zh
 
 
+def test_garbled_single_signs(spark):
+    """One garbled sign in a long document is enough, by whatever encodings it went."""
+    plain = "The balance of the resistor was 47 Ω while the column compares the numerator. "
+    clean = [(k, (plain + sentence(random.Random(k)) + " ") * 3, "en") for k in range(200)]
+    bad = {1000 + k: "Intro. " * 30 + "A resistor was 47 " + "Ω".encode().decode(e) + " while the rest compares." for k, e in enumerate(("cp1252", "cp1251", "gb18030", "mac_roman"))}
+    got = garbled.garbled(spark.createDataFrame(clean + [(k, t, "en") for k, t in bad.items()], "doc_id bigint, text string, lang string")).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(bad) and all("47 Ω while" in r["restored"] for r in got)
+
+
 def test_garbled_short_runs(spark):
     zh = "我们用全局像素来覆盖每一个积分。模型不超过边界，"
     parts = ["It’s known that a ≤ π. ", "We saw “rigid” forms. ", "Die größte Fläche der Straße. ", "“¿Por qué la página es así?” ", "Ångström units, À cette étape. ATENÇÃO: a dimensão. ", zh]

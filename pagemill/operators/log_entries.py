@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from pagemill.session import small, written
 
-#: Symbols kept of a signature. The layout is decided by the header; extraction reads the whole line.
+#: Symbols kept of a signature. The layout is decided by the header; extraction reads the whole line. Signatures of this
+#: length that begin like a header and fit no layout yet are taken whole.
 SIGNATURE_SYMBOLS = 48
 #: Line numbers per block of a session.
 BLOCK_LINES = 65_536
@@ -60,12 +61,12 @@ def plain(line: Column) -> Column:
     return F.when(F.instr(line, "\u001b") > 0, F.regexp_replace(line, "\u001b\\[[0-9;]*[A-Za-z]", "")).otherwise(line)
 
 
-def signature(line: Column) -> Column:
-    """Shape of a line: s quoted string, 9 digits, a letters, u other scripts, one blank for white space."""
+def signature(line: Column, symbols: int | None = SIGNATURE_SYMBOLS) -> Column:
+    """Shape of a line: s quoted string, 9 digits, a letters, u other scripts, one blank for white space; whole if symbols is None."""
     s = F.when(F.instr(line, '"') > 0, F.regexp_replace(line, _QUOTED, "\u0001")).otherwise(line)
     for pattern, symbol in ((r"[A-Za-z_]+", "a"), ("\u0001", "s"), (r"[0-9]+", "9"), (r"\s+", " "), (r"[^\x00-\x7f]+", "u")):
         s = F.regexp_replace(s, pattern, symbol)
-    return F.substring(s, 1, SIGNATURE_SYMBOLS)
+    return s if symbols is None else F.substring(s, 1, symbols)
 
 
 def resolve(signatures: DataFrame) -> DataFrame:
@@ -76,6 +77,26 @@ def resolve(signatures: DataFrame) -> DataFrame:
     return signatures.select("sig", rule.alias("rule")).where(F.col("rule").isNotNull())
 
 
+#: How a header begins: a clock, date or epoch, an object, or a name of a pair.
+_BEGINS = r"^(\[9:9:9|9 \[|9-9 9:9:9|9-9-9.9:9:9|\{ ?s|[a.]+$)"
+
+
+def with_rules(base: DataFrame) -> DataFrame:
+    """Lines (column line) with the rule of their signature, or null."""
+    # Written first: otherwise the rule patterns would be pushed below the distinct and run on every line.
+    shapes = written(base.select(signature(F.col("line")).alias("sig")).distinct(), "log-shapes")
+    rules = resolve(shapes)
+    known = base.withColumn("sig", signature(F.col("line"))).join(small(rules, RULES_LIMIT), "sig", "left")
+    undecided = shapes.where(F.length("sig") == SIGNATURE_SYMBOLS).where(F.col("sig").rlike(_BEGINS)).join(rules, "sig", "left_anti").select("sig", F.lit(True).alias("undecided"))
+    undecided = written(undecided, "log-undecided")
+    if undecided.isEmpty():
+        return known
+    known = known.join(small(undecided, RULES_LIMIT), "sig", "left").withColumn("whole", F.when(F.col("undecided"), signature(F.col("line"), None)))
+    longer = written(known.where("undecided").select(F.col("whole").alias("sig")).distinct(), "log-longer")
+    more = resolve(longer).select(F.col("sig").alias("whole"), F.col("rule").alias("late"))
+    return known.join(small(more, RULES_LIMIT), "whole", "left").withColumn("rule", F.coalesce("rule", "late"))
+
+
 def level_of(raw: Column) -> Column:
     up = F.upper(F.trim(raw))
     out = F.lit("")
@@ -139,10 +160,7 @@ def log_entries(lines: DataFrame, message: bool = True) -> DataFrame:
     message=False leaves out the text, so that it is neither shuffled nor collected.
     """
     base = lines.where(F.col("line_no").isNotNull()).select("session_id", "line_no", plain(F.col("line")).alias("line"))
-    # Written first: otherwise the rule patterns would be pushed below the distinct and run on every line.
-    shapes = written(base.select(signature(F.col("line")).alias("sig")).distinct(), "log-shapes")
-    rules = small(resolve(shapes), RULES_LIMIT)
-    known = base.withColumn("sig", signature(F.col("line"))).join(rules, "sig", "left")
+    known = with_rules(base)
     # inline() is a plan node of its own, so a line is taken apart once, not once per field used.
     known = known.select("session_id", "line_no", "line", F.inline(F.array(_parsed(F.col("line"), F.col("rule"))))).withColumn("ms", ms_of_day(F.col("raw")))
     start = F.col("ms").isNotNull() & F.coalesce(F.col("component") != "", F.lit(False))

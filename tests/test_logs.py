@@ -80,3 +80,12 @@ def test_entries_over_blocks(spark, monkeypatch):
 
 def test_empty(spark):
     assert L.log_entries(frame(spark, [])).count() == 0
+
+
+def test_headers_longer_than_a_signature(spark):
+    """A header that ends behind the symbols kept of a signature is still one, and so is none that only begins like one."""
+    tag = "-".join(["part"] * 30)
+    lines = ["03-01 10:00:00.123  1  2 I Tag: first", f"03-01 10:00:01.000  1  2 W {tag}: second", "go on", "03-01 10:00:02.000  1  2 " + "x-" * 40 + " no header", "03-01 10:00:03.000  1  2 E Last: third"]
+    df = spark.createDataFrame([(1, k, t) for k, t in enumerate(lines)], "session_id bigint, line_no bigint, line string")
+    got = sorted((r["line_no"], r["last_line"], r["level"], r["component"]) for r in L.log_entries(df).collect())
+    assert got == [(0, 0, "INFO", "Tag"), (1, 3, "WARN", tag), (4, 4, "ERROR", "Last")]

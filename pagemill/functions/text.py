@@ -34,77 +34,88 @@ def trim_blanks(s: Column) -> Column:
 # Repair.
 
 
-def _close(open_: list[str]) -> str:
-    """What closes the things still open, innermost first: lefts before the environments that hold them."""
-    return "".join(r" \right." if o == r"\left" else rf"\end{{{o}}}" for o in reversed(open_))
+_FRACTIONS = re.compile(r"\\(?:" + "|".join(c[1:] for c in ARGUMENTS) + r")(?![A-Za-z0-9_])")
+_SCOPES = re.compile(r"\\(?:(left|right)(?![A-Za-z0-9_])|(begin|end)[ \t\n\x0b\f\r]*\{([A-Za-z*]+)[ \t\n\x0b\f\r]*\})")
 
 
-def repair(tex: str | None) -> str | None:
-    """LaTeX made well-formed: line ends and edges cleaned, trailing backslashes and unmatched closing braces dropped,
-    missing arguments filled with empty ones, open braces, lefts and environments closed.
+def repair(tex: str | None, strict_compat: bool = True) -> str | None:
+    """LaTeX made well-formed: line ends and edges cleaned, trailing backslashes (with blanks between them) and unmatched
+    closing braces dropped, missing arguments filled with empty ones, open braces, lefts and environments closed.
 
-    Null stays null. Arguments are filled from left to right, inner ones included.
+    Null stays null. With strict_compat an escaped brace counts as a brace, fillings go in from the last found to the first
+    at the places they had before any was put in (so in nested commands they may miss their place), and an open first
+    argument gets an empty one before it. Without, none of this happens: escaped braces are left alone, arguments are
+    filled where they are missing, inner ones included, and an open group takes in all the rest.
     """
     if tex is None:
         return None
-    s = tex.replace("\r\n", "\n").strip("".join(map(chr, range(33))))
-    s = re.sub(r"\\+$", "", s)
-    kept, depth, at = [], 0, 0
-    while at < len(s):
-        c = s[at]
-        if c == "\\" and at + 1 < len(s):
-            kept.append(s[at : at + 2])
-            at += 2
+    controls = "".join(map(chr, range(33)))
+    s = re.sub(r"(?:\\[ \t\n\x0b\f\r]*)+$", "", tex.replace("\r\n", "\n").strip(controls)).strip(controls)
+    kept, depth = [], 0
+    for piece in re.findall(r"[{}]|[^{}]+" if strict_compat else r"\\.|[{}]|[^\\{}]+|\\", s, re.S):
+        if piece == "}" and not depth:
             continue
-        if c == "}" and depth == 0:
-            at += 1
-            continue
-        depth += (c == "{") - (c == "}")
-        kept.append(c)
-        at += 1
-    s = _filled("".join(kept))
-    lefts = max(0, len(re.findall(r"\\left(?![A-Za-z])", s)) - len(re.findall(r"\\right(?![A-Za-z])", s)))
-    stack: list[str] = []
-    for m in re.finditer(r"\\(begin|end)\{([^{}]*)\}", s):
-        if m.group(1) == "begin":
-            stack.append(m.group(2))
-        elif m.group(2) in stack:
-            while stack.pop() != m.group(2):
-                pass
-    out = s + "}" * depth + r" \right." * lefts + _close(stack)
-    return out.replace(". .", "..")
-
-
-def _group_end(s: str, at: int) -> int | None:
+        depth += (piece == "{") - (piece == "}")
+        kept.append(piece)
+    s = "".join(kept)
+    s = _filled_as_found(s) if strict_compat else _filled(s)
+    lefts, scopes = 0, []
+    for m in _SCOPES.finditer(s):
+        if m.group(1):
+            lefts = max(0, lefts + (1 if m.group(1) == "left" else -1))
+        elif m.group(2) == "begin":
+            scopes.append(m.group(3))
+        elif m.group(3) in scopes:
+            del scopes[len(scopes) - 1 - scopes[::-1].index(m.group(3)) :]
+    ends = "".join(f"\n\\end{{{name}}}" for name in reversed(scopes))
+    return (s + "}" * depth + r" \right." * lefts + ends).strip(controls).replace(". .", "..")
+
+
+def _group_end(s: str, at: int, escapes: bool) -> int | None:
     """Place behind the group that starts at `at`; None if it never ends."""
     depth = 0
-    k = at
-    while k < len(s):
-        if s[k] == "\\":
-            k += 2
-            continue
-        depth += (s[k] == "{") - (s[k] == "}")
-        k += 1
-        if depth == 0:
-            return k
+    for m in re.compile(r"\\.|[{}]" if escapes else "[{}]", re.S).finditer(s, at):
+        depth += (m.group() == "{") - (m.group() == "}")
+        if depth == 0 and m.group() == "}":
+            return m.end()
     return None
 
 
+def _behind_blanks(s: str, at: int) -> int:
+    return len(s) - len(s[at:].lstrip(" "))
+
+
+def _filled_as_found(s: str) -> str:
+    """Fillings of all commands by their places in s, put in from the last command to the first."""
+    fillings = []
+    for m in _FRACTIONS.finditer(s):
+        first = _behind_blanks(s, m.end())
+        if s[first : first + 1] != "{":
+            fillings.append((first, " {} {}"))
+            continue
+        end = _group_end(s, first, False)
+        if end is None:
+            fillings.append((first, " {}"))
+        elif s[_behind_blanks(s, end) :][:1] != "{":
+            fillings.append((end, " {}"))
+    for place, empty in reversed(fillings):
+        s = s[:place] + empty + s[place:]
+    return s
+
+
 def _filled(s: str) -> str:
     out, at = [], 0
-    pattern = re.compile(r"(\\(?:dfrac|tfrac|frac|binom))(?![A-Za-z])")
     while True:
-        m = pattern.search(s, at)
+        m = _FRACTIONS.search(s, at)
         if not m:
             return "".join(out) + s[at:]
         out.append(s[at : m.end()])
         at = m.end()
-        for _ in range(ARGUMENTS[m.group(1)]):
-            k = at
-            while k < len(s) and s[k] == " ":
-                k += 1
-            end = _group_end(s, k) if k < len(s) and s[k] == "{" else None
-            if k < len(s) and s[k] == "{" and end is None:
+        for _ in range(ARGUMENTS[m.group()]):
+            k = _behind_blanks(s, at)
+            opened = s[k : k + 1] == "{"
+            end = _group_end(s, k, True) if opened else None
+            if opened and end is None:
                 break  # an open group takes in all the rest
             if end is None:
                 out.append(" {}")
@@ -113,9 +124,12 @@ def _filled(s: str) -> str:
                 at = end
 
 
-@F.pandas_udf(StringType())
-def repair_latex(tex: pd.Series) -> pd.Series:
-    return tex.map(repair)
+def repair_latex(tex: Column, strict_compat: bool = True) -> Column:
+    @F.pandas_udf(StringType())
+    def repaired(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: repair(t, strict_compat))
+
+    return repaired(tex)
 
 
 def sanitize_latex(s: Column) -> Column:
@@ -205,15 +219,16 @@ def escape_html(s: Column) -> Column:
     return F.replace(F.replace(F.replace(s, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-def version_key(v: Column, parts: int = 8) -> Column:
-    """Numbers of a dotted version, missing and unreadable ones as 0: versions compare as these arrays do."""
-    numbers = F.transform(F.split(v, r"\."), lambda p: F.coalesce(p.try_cast("int"), F.lit(0)))
-    return F.slice(F.concat(numbers, F.array_repeat(F.lit(0), parts)), 1, parts)
+def version_key(v: Column) -> Column:
+    """Numbers of a dotted version, unreadable ones as 0."""
+    return F.transform(F.split(v, r"\."), lambda p: F.coalesce(p.try_cast("int"), F.lit(0)))
 
 
 def newer(a: Column, b: Column) -> Column:
-    """Whether version a is newer than b."""
-    return version_key(a) > version_key(b)
+    """Whether version a is newer than b; missing parts count as 0."""
+    ka, kb = version_key(a), version_key(b)
+    # Both arrays get the length of the two together, whatever it is.
+    return F.concat(ka, F.array_repeat(F.lit(0), F.size(kb))) > F.concat(kb, F.array_repeat(F.lit(0), F.size(ka)))
 
 
 # JSON and binary.

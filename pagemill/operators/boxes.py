@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions.text import trim_controls
+
 # Fixed values of the detectors.
 DETECTOR_SIDE, STRIDES = 768, (8, 16, 32)
 CONFIDENCE, IOU, COVERED, TEXT_CONFIDENCE = 0.25, 0.45, 0.7, 0.45
@@ -133,14 +135,16 @@ def score_order(boxes: DataFrame) -> DataFrame:
     return boxes.withColumn("rank", F.row_number().over(Window.partitionBy("img").orderBy(F.col("conf").desc(), "box_id")))
 
 
-def merge_rows(boxes: DataFrame) -> DataFrame:
+def merge_rows(boxes: DataFrame, strict_compat: bool = True) -> DataFrame:
     """Boxes of one text row merged: in (y, x) order a box joins the first group whose centre is nearer than half
-    the mean height and whose gap is below 1.2 mean heights. A gap has no lower bound, as in the original."""
+    the mean height and whose right side is less than 1.2 mean heights left of the box. There is no bound to the other
+    side: a box anywhere left of a group joins it too. strict_compat=False measures the gap on either side."""
 
     def joins(g: Column, b: Column) -> Column:
         mean = (g["h"] + b["h"]) / 2.0
         near = F.abs((g["y"] + g["h"] / 2.0) - (b["y"] + b["h"] / 2.0)) < mean / 2
-        gap = F.when(b["x"] > g["x"], b["x"] - (g["x"] + g["w"])).otherwise(g["x"] - (b["x"] + b["w"]))
+        right = b["x"] - (g["x"] + g["w"])
+        gap = right if strict_compat else F.greatest(right, g["x"] - (b["x"] + b["w"]))
         return near & (gap < mean * 1.2)
 
     def joined(g: Column, b: Column) -> Column:
@@ -258,7 +262,7 @@ def ring_metrics(points: Column) -> Column:
 def group_lines(regions: DataFrame, share: float = 0.45) -> DataFrame:
     """(img, line, pos, region_id): regions in reading order join the first line whose leftmost member overlaps them in
     height by at least share of the smaller height; a line is re-ordered by x after each addition."""
-    item = "struct<x:int,y:int,h:int,id:bigint>"
+    item = "struct<x:int,y:int,id:bigint,h:int>"
     one = F.struct(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("region_id").cast("bigint").alias("id"), F.col("h").cast("int").alias("h"))
     rows = regions.groupBy("img").agg(F.array_sort(F.collect_list(one)).alias("rs"))
     pct = round(share * 100)
@@ -269,7 +273,7 @@ def group_lines(regions: DataFrame, share: float = 0.45) -> DataFrame:
 
     def step(acc: Column, r: Column) -> Column:
         at = F.array_position(F.transform(acc, lambda ln: fits(ln, r)), True)
-        new = F.array(F.struct(r["x"].alias("x"), r["y"].alias("y"), r["h"].alias("h"), r["id"].alias("id"))).cast(f"array<{item}>")
+        new = F.array(F.struct(r["x"].alias("x"), r["y"].alias("y"), r["id"].alias("id"), r["h"].alias("h"))).cast(f"array<{item}>")
         return F.when(at == 0, F.concat(acc, F.array(new))).otherwise(F.transform(acc, lambda ln, k: F.when(k == at - 1, F.array_sort(F.concat(ln, new))).otherwise(ln)))
 
     lines = F.aggregate("rs", F.array().cast(f"array<array<{item}>>"), step)
@@ -278,11 +282,21 @@ def group_lines(regions: DataFrame, share: float = 0.45) -> DataFrame:
 
 
 def layout_text(regions: DataFrame) -> DataFrame:
-    """(img, text): lines joined by newlines, members by blanks, formulas between $$ marks on lines of their own."""
-    placed = group_lines(regions).join(regions.select("region_id", "type", "text"), "region_id")
-    body = F.when(F.col("type") == "formula", F.concat(F.lit("$$\n"), F.col("text"), F.lit("\n$$"))).otherwise(F.col("text"))
-    line = placed.groupBy("img", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", body.alias("t")))), lambda s: s["t"]), " ").alias("t"))
-    return line.groupBy("img").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.trim("t").alias("t")))), lambda s: s["t"]), "\n").alias("text"))
+    """(img, text): lines joined by newlines, members by blanks, formulas between $$ marks on lines of their own.
+
+    Texts are trimmed and empty ones left out (a null text is empty); a formula has a blank behind it beside the one
+    between members. The only region of an image comes out as it is.
+    """
+    text = F.coalesce("text", F.lit(""))
+    formula = F.coalesce(F.col("type") == "formula", F.lit(False))
+    marked = F.concat(F.lit("$$\n"), text, F.lit("\n$$"))
+    alone = F.when(formula, marked).otherwise(text)
+    body = F.when(formula, F.concat(marked, F.lit(" "))).otherwise(F.nullif(trim_controls(text), F.lit("")))
+    placed = group_lines(regions).join(regions.select("region_id", "img", body.alias("body"), alone.alias("alone")), ["img", "region_id"])
+    members = F.transform(F.array_sort(F.collect_list(F.struct("pos", "body"))), lambda s: s["body"])
+    line = placed.groupBy("img", "line").agg(trim_controls(F.array_join(members, " ")).alias("t"), F.count("*").alias("n"), F.min("alone").alias("alone"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda s: s["t"]), "\n")
+    return line.groupBy("img").agg(F.when(F.sum("n") == 1, F.min("alone")).otherwise(lines).alias("text"))
 
 
 def crop_boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

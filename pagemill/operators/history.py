@@ -1,7 +1,7 @@
 """The record store: an append-only log of operations folded to the current records, and its reports.
 
 Records are (id, latex, confidence, type, source, favorite, created_at). Changes are rows (seq, op, id,
-...) with op insert, toggle, delete or clear; `current` folds them with one aggregation per id, so no
+...) with op insert, toggle, delete or clear; `current` folds them with one window per id, so no
 record is ever rewritten in place.
 """
 
@@ -51,22 +51,47 @@ def clear(records: DataFrame, keep_favorites: bool = True) -> DataFrame:
     return records.where(F.coalesce("favorite", F.lit(False)) if keep_favorites else F.lit(False))
 
 
+#: Sequence numbers counted in one block when clears are numbered.
+ERA_BLOCK = 65_536
+
+
+def with_era(ops: DataFrame) -> DataFrame:
+    """ops with era, the number of clears before: counted within blocks of seq, whose totals are added up."""
+    is_clear = F.when(F.col("op") == "clear", 1).otherwise(0)
+    rows = ops.withColumn("block", F.floor(F.col("seq") / ERA_BLOCK))
+    inside = Window.partitionBy("block").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
+    # One row per block reaches the window without partition.
+    totals = rows.groupBy("block").agg(F.sum(is_clear).alias("n")).select(F.col("block"), F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return rows.withColumn("here", F.coalesce(F.sum(is_clear).over(inside), F.lit(0))).join(totals, "block").withColumn("era", F.col("here") + F.col("before")).drop("block", "here", "before")
+
+
 def current(records: DataFrame, ops: DataFrame) -> DataFrame:
-    """records after a log of operations (seq, op, id): toggles are counted, the last delete or clear of favourites decides.
+    """records after a log of operations (seq, op, id and, for inserts, columns of records).
 
-    ops are few per id but may be many in all: they are folded per id by aggregation. clear rows (id null) drop what is
-    not a favourite at their time; as that needs the toggles before, they split the log into eras by seq.
+    seq is unique. A toggle turns the favourite of a record that exists by then; a null favourite counts as false. A delete
+    removes the record for good. A clear (id null) removes whatever is no favourite at its time, so a record stays if it is a
+    favourite at the end of each era (stretch between clears) it meets. An insert is a new record from its seq on, with the
+    defaults; without a latex (or without that column in ops) it is none. Rows with an unknown op or a null id change nothing.
     """
-    cleared = ops.where("op = 'clear'").agg(F.max("seq")).first()[0]  # one number
-    early = F.lit(False) if cleared is None else F.col("seq") < cleared
-    changes = ops.where("op in ('toggle', 'delete')")
-    folded = changes.groupBy("id").agg(F.count_if(F.col("op") == "delete").alias("deletes"), F.count_if((F.col("op") == "toggle") & early).alias("t0"), F.count_if(F.col("op") == "toggle").alias("t"))
-    state = records.join(folded, "id", "left")
-    turned = lambda n: F.coalesce("favorite", F.lit(False)) != (F.coalesce(n, F.lit(0)) % 2 == 1)
-    alive = F.coalesce("deletes", F.lit(0)) == 0
-    if cleared is not None:
-        alive = alive & turned(F.col("t0"))
-    return state.where(alive).withColumn("favorite", turned(F.col("t"))).select(*records.columns)
+    eras = with_era(ops)
+    born = records.withColumns({"_from": F.lit(None).cast("bigint"), "_era": F.lit(0).cast("bigint")})
+    if "latex" in ops.columns:
+        fresh = new_records(eras.where("op = 'insert' and id is not null"))
+        known = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in fresh.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in records.schema]
+        born = born.unionByName(fresh.select(*known, F.col("seq").cast("bigint").alias("_from"), F.col("era").cast("bigint").alias("_era")))
+    born = born.withColumn("_fav", F.coalesce("favorite", F.lit(False)))
+    clears = ops.agg(F.count_if(F.col("op") == "clear").alias("_clears")).withColumn("_one", F.lit(1))
+    toggle = F.col("op") == "toggle"
+    own = eras.where("op in ('toggle', 'delete')").select("id", "op", "era", "seq").join(born.select("id", "_from", "_fav"), "id").where("_from is null or seq > _from")
+    per = own.groupBy("id", "_fav", "era").agg(F.count_if(toggle).alias("t"), F.count_if(~toggle).alias("d"))
+    odd = F.sum("t").over(Window.partitionBy("id").orderBy("era")) % 2 == 1
+    per = per.withColumn("state", F.col("_fav") != odd).withColumn("_one", F.lit(1)).join(F.broadcast(clears), "_one")
+    folded = per.groupBy("id").agg(F.sum("d").alias("_d"), F.sum("t").alias("_t"), F.min("era").alias("_first"), F.every(F.col("state") | (F.col("era") >= F.col("_clears"))).alias("_kept"))
+    state = born.withColumn("_one", F.lit(1)).join(F.broadcast(clears), "_one").join(folded, "id", "left")
+    # Clears before the first change meet the record as it began.
+    quiet = F.least(F.coalesce("_first", F.col("_clears")), F.col("_clears")) > F.col("_era")
+    alive = (F.coalesce("_d", F.lit(0)) == 0) & F.coalesce("_kept", F.lit(True)) & (F.col("_fav") | ~quiet)
+    return state.where(alive).withColumn("favorite", F.col("_fav") != (F.coalesce("_t", F.lit(0)) % 2 == 1)).select(*records.columns)
 
 
 def count(records: DataFrame) -> DataFrame:

@@ -360,36 +360,38 @@ def box_scores(boxes: DataFrame, pixels: DataFrame, mask: DataFrame) -> DataFram
     return boxes.join(on, inside, "left").groupBy("img", "box_id").agg(F.coalesce(F.avg("p"), F.lit(0.0)).alias("score"))
 
 
+# The eight neighbours (x, y) in the order they are looked at, where the search begins, and the shortest outline.
+AROUND, BEGIN, MIN_POINTS = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)), 4, 4
+
+
 def _trace(mask: np.ndarray) -> list[list[tuple[int, int]]]:
-    """Outlines of the set pixels: from every pixel not met yet, around its region by its eight neighbours."""
+    """Outlines of the set pixels: from every pixel not on one yet, from neighbour to neighbour, looking first beside the
+    one it came from. Pixels inside a region are on no outline, so they begin further ones."""
     h, w = mask.shape
-    around = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
-    met = np.zeros_like(mask, bool)
+    on = mask.tolist()
+    met = [[False] * w for _ in range(h)]
     out = []
-    for sy, sx in zip(*np.nonzero(mask)):
-        if met[sy, sx]:
+    for sy, sx in np.argwhere(mask).tolist():
+        if met[sy][sx]:
             continue
-        points, y, x, d = [(int(sx), int(sy))], sy, sx, 0
-        met[sy, sx] = True
-        for _ in range(min(w * h, MAX_TRACE)):
-            for k in range(8):
-                turn = (d + 6 + k) % 8
-                ny, nx = y + around[turn][0], x + around[turn][1]
-                if 0 <= ny < h and 0 <= nx < w and mask[ny, nx]:
-                    y, x, d = ny, nx, turn
-                    break
-            else:
+        points, x, y, back = [], sx, sy, BEGIN
+        while len(points) < min(w * h, MAX_TRACE):
+            points.append((x, y))
+            met[y][x] = True
+            ring = ((back + k) % 8 for k in range(1, 9))
+            way = next((d for d in ring if 0 <= x + AROUND[d][0] < w and 0 <= y + AROUND[d][1] < h and on[y + AROUND[d][1]][x + AROUND[d][0]]), None)
+            if way is None:
                 break
-            if (y, x) == (sy, sx) and len(points) >= MIN_TRACE:
+            x, y, back = x + AROUND[way][0], y + AROUND[way][1], (way + 4) % 8
+            if (x, y) == (sx, sy) and len(points) >= MIN_TRACE:
                 break
-            met[y, x] = True
-            points.append((int(x), int(y)))
-        out.append(points)
+        if len(points) >= MIN_POINTS:
+            out.append(points)
     return out
 
 
 def contours(masks: DataFrame) -> DataFrame:
-    """(img, contour, points): outlines in binary rasters (img, w, h, px). Going from pixel to pixel, it runs per image in Python."""
+    """(img, contour, points): outlines of four points or more in binary rasters (img, w, h, px). Going from pixel to pixel, it runs per image in Python."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

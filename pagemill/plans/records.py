@@ -74,16 +74,31 @@ def rec_count(spark: SparkSession, d: str) -> DataFrame:
     return H.count(_history(spark, d))
 
 
-@query(
-    """WITH s AS (SELECT id, coalesce(favorite, false) AS f0, CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS t0, CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END AS t1, id % 7 = 0 AS del FROM history)
-SELECT id, (f0 <> (t0 = 1)) <> (t1 = 1) AS favorite FROM s WHERE NOT del AND (f0 <> (t0 = 1))"""
-)
+#: What happens to the store: two clears with toggles around them, deletions, and two rounds of inserts.
+_OPS = """SELECT 1000000 + id AS seq, 'toggle' AS op, id FROM history WHERE id % 3 = 0
+UNION ALL SELECT 2000000, 'clear', NULL
+UNION ALL SELECT 3000000 + id, 'insert', 10000000 + id FROM history WHERE id % 4 = 1
+UNION ALL SELECT 4000000 + id, 'toggle', 10000000 + id FROM history WHERE id % 8 = 1
+UNION ALL SELECT 4000000 + id, 'toggle', id FROM history WHERE id % 9 = 0
+UNION ALL SELECT 5000000, 'clear', NULL
+UNION ALL SELECT 6000000 + id, 'insert', 20000000 + id FROM history WHERE id % 5 = 1
+UNION ALL SELECT 7000000 + id, 'toggle', id FROM history WHERE id % 5 = 0
+UNION ALL SELECT 8000000 + id, 'delete', id FROM history WHERE id % 7 = 0"""
+# Each record is set against both clears by itself: what its toggles before a clear make of it decides.
+_CURRENT = f"""WITH ops AS ({_OPS}),
+born AS (SELECT id, coalesce(favorite, false) AS fav, 0 AS since FROM history
+UNION ALL SELECT o.id, false, o.seq FROM ops o JOIN history h ON h.id = o.id % 10000000 WHERE o.op = 'insert' AND coalesce(h.latex, '') <> ''),
+counted AS (SELECT b.id, b.fav, b.since, count(o.seq) FILTER (o.op = 'toggle' AND o.seq < 2000000) AS t1, count(o.seq) FILTER (o.op = 'toggle' AND o.seq < 5000000) AS t2,
+count(o.seq) FILTER (o.op = 'toggle') AS t, count(o.seq) FILTER (o.op = 'delete') AS d FROM born b LEFT JOIN ops o ON o.id = b.id AND o.seq > b.since AND o.op <> 'insert' GROUP BY ALL)
+SELECT id, fav <> (t % 2 = 1) AS favorite FROM counted WHERE d = 0 AND (since > 2000000 OR fav <> (t1 % 2 = 1)) AND (since > 5000000 OR fav <> (t2 % 2 = 1))"""
+
+
+@query(_CURRENT)
 def rec_current(spark: SparkSession, d: str) -> DataFrame:
-    """After toggling every third, clearing, toggling every fifth and deleting every seventh record."""
+    """The store after toggles, two clears, inserts and deletions."""
     h = _history(spark, d)
-    op = lambda n, name, seq: h.where(F.col("id") % n == 0).select(F.lit(seq).alias("seq"), F.lit(name).alias("op"), "id")
-    clear = spark.createDataFrame([(2, "clear", None)], "seq int, op string, id bigint")
-    ops = op(3, "toggle", 1).unionByName(clear).unionByName(op(5, "toggle", 3)).unionByName(op(7, "delete", 4))
+    ops = spark.sql(_OPS.replace("FROM history", "FROM {history}"), history=h)
+    ops = ops.join(h.select(F.col("id").alias("from_id"), "latex", "created_at"), (F.col("op") == "insert") & (F.col("id") % 10_000_000 == F.col("from_id")), "left").drop("from_id")
     return H.current(h, ops).select("id", "favorite")
 
 

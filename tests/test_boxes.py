@@ -32,7 +32,8 @@ def test_suppress(spark, empty):
     assert sorted(r["box_id"] for r in B.suppress(spark.createDataFrame(rows, SCHEMA)).collect()) == sorted(want)
 
 
-def test_merge_rows(spark):
+@pytest.mark.parametrize("strict", [True, False])
+def test_merge_rows(spark, strict):
     rows = some(5)
     want = []
     for img in range(4):
@@ -40,7 +41,9 @@ def test_merge_rows(spark):
         for b in sorted((b for b in rows if b[0] == img), key=lambda b: (b[3], b[2], b[1])):
             for g in groups:
                 mean = (g[3] + b[5]) / 2
-                gap = b[2] - (g[0] + g[2]) if b[2] > g[0] else g[0] - (b[2] + b[4])
+                gap = b[2] - (g[0] + g[2])
+                if not strict:
+                    gap = max(gap, g[0] - (b[2] + b[4]))
                 if abs(g[1] + g[3] / 2 - b[3] - b[5] / 2) < mean / 2 and gap < 1.2 * mean:
                     x, y = min(g[0], b[2]), min(g[1], b[3])
                     g[:] = [x, y, max(g[0] + g[2], b[2] + b[4]) - x, max(g[1] + g[3], b[3] + b[5]) - y]
@@ -48,7 +51,7 @@ def test_merge_rows(spark):
             else:
                 groups.append([b[2], b[3], b[4], b[5]])
         want += [(img, *g) for g in groups]
-    got = B.merge_rows(spark.createDataFrame(rows, SCHEMA)).select("img", "x", "y", "w", "h").collect()
+    got = B.merge_rows(spark.createDataFrame(rows, SCHEMA), strict).select("img", "x", "y", "w", "h").collect()
     assert sorted(map(tuple, got)) == sorted(want)
 
 
@@ -83,6 +86,20 @@ def test_split_by_formulas(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_box_left_of_its_row_joins(spark):
+    far = [(1, 1, 900, 0, 50, 20, 0.5), (1, 2, 0, 1, 50, 20, 0.9)]
+    df = spark.createDataFrame(far, SCHEMA)
+    assert [tuple(r)[1:5] for r in B.merge_rows(df).select("box_id", "x", "y", "w", "h").collect()] == [(0, 0, 950, 21)]
+    assert B.merge_rows(df, strict_compat=False).count() == 2
+
+
+def test_layout_of_blanks_and_formulas(spark):
+    line = [(3, 10, 0, 0, 9, 9, "formula", "a"), (3, 11, 20, 0, 9, 9, "text", "  b\t"), (3, 12, 30, 0, 9, 9, "text", "   "), (3, 13, 40, 0, 9, 9, "text", None), (3, 14, 50, 0, 9, 9, "text", "c"), (3, 15, 0, 40, 9, 9, "text", " ")]
+    one = [(4, 20, 0, 0, 9, 9, "text", " as it is "), (5, 21, 0, 0, 9, 9, "formula", "x")]
+    df = spark.createDataFrame(line + one, "img bigint, region_id bigint, x int, y int, w int, h int, type string, text string")
+    assert dict(B.layout_text(df).collect()) == {3: "$$\na\n$$  b c\n", 4: " as it is ", 5: "$$\nx\n$$"}
+
+
 def test_lines_and_layout(spark):
     rows = [(1, 1, 100, 10, 20, 20, "text", "world"), (1, 2, 0, 12, 50, 20, "text", "hello"), (1, 3, 0, 60, 50, 20, "formula", "x^2"), (2, 4, 0, 0, 5, 0, "text", "")]
     df = spark.createDataFrame(rows, "img bigint, region_id bigint, x int, y int, w int, h int, type string, text string")

@@ -1,6 +1,7 @@
 """Rasters, decoding, texts, records, sources and states on small cases worked out by hand or by loops."""
 
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -48,13 +49,18 @@ def test_islands(spark):
     assert got == cases
 
 
-def test_contour_of_a_square(spark):
-    px = np.zeros((8, 8), int)
-    px[2:6, 2:6] = 1
-    df = spark.createDataFrame([(1, 8, 8, px.ravel().tolist())], "img bigint, w int, h int, px array<int>")
-    first = R.contours(df).orderBy("contour").first()["points"]
-    xs, ys = [p["x"] for p in first], [p["y"] for p in first]
-    assert (min(xs), max(xs), min(ys), max(ys)) == (2, 5, 2, 5)
+def test_contours_by_hand(spark):
+    """A square of three from its first pixel on: down, then along the outline; a single pixel has none."""
+    px = np.zeros((5, 6), int)
+    px[1:4, 1:4] = 1
+    px[0, 5] = 1
+    df = spark.createDataFrame([(1, 6, 5, px.ravel().tolist()), (2, 2, 1, [1, 1]), (3, 4, 2, [1, 1, 0, 0, 0, 0, 0, 0])], "img bigint, w int, h int, px array<int>")
+    got = [(r["img"], r["contour"], [(p["x"], p["y"]) for p in r["points"]]) for r in R.contours(df).orderBy("img", "contour").collect()]
+    assert got[0] == (1, 0, [(1, 1), (1, 2), (1, 3), (2, 3), (3, 3), (3, 2), (3, 1), (2, 1)])
+    # The pixel inside is on no outline yet, so it begins one of its own.
+    assert got[1][0] == 1 and got[1][2][0] == (2, 2)
+    # Two pixels: there and back until six points; in a raster of two, after two points, which are too few.
+    assert got[2:] == [(3, 0, [(0, 0), (1, 0)] * 3)]
 
 
 def test_resampling_keeps_flat_images():
@@ -118,36 +124,72 @@ def test_beam_search_is_exhaustive_on_small_trees():
         (None, None),
         ("", ""),
         ("a}b", "ab"),
-        (r"\frac{a", r"\frac{a}"),
+        (r"\frac{a", r"\frac {}{a}"),
         (r"\frac{a}", r"\frac{a} {}"),
+        (r"\frac12", r"\frac12"),
         (r"\binom", r"\binom {} {}"),
         (r"\left( x", r"\left( x \right."),
-        (r"\begin{a}x\begin{b}y", r"\begin{a}x\begin{b}y\end{b}\end{a}"),
+        (r"\left( x \right) \right) \left[", r"\left( x \right) \right) \left[ \right."),
+        (r"\begin{a}x\begin{b}y", "\\begin{a}x\\begin{b}y\n\\end{b}\n\\end{a}"),
+        (r"\begin {cases*}x", "\\begin {cases*}x\n\\end{cases*}"),
         ("x\\\\\r\n", "x"),
+        ("a\\\\ \\\\ ", "a"),
         (r"\{a\}", r"\{a\}"),
+        (r"\{a}", r"\{a}"),
         (". .", ".."),
         (r"\frac{\frac{1}}{2}", r"\frac{\frac{1} {}}{2}"),
+        (r"\frac{\frac{1}}", r"\frac{\frac{1}  {}{}}"),
     ],
 )
 def test_repair(raw, want):
     assert T.repair(raw) == want
 
 
+@pytest.mark.parametrize("raw, want", [(r"\{a}", r"\{a"), (r"\frac{\frac{1}}", r"\frac{\frac{1} {}} {}"), (r"\frac{a", r"\frac{a}"), (r"\frac12", r"\frac12"), ("a\\\\ \\\\ ", "a")])
+def test_repair_without_compat(raw, want):
+    assert T.repair(raw, strict_compat=False) == want
+
+
+@pytest.mark.parametrize("strict", [True, False])
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=r"\frac{}lebgindht ()$ax1", max_size=40))
-def test_repair_balances(s):
-    out = T.repair(s)
-    depth, k = 0, 0
-    while k < len(out):
-        if out[k] == "\\":
-            k += 2
-            continue
-        depth += (out[k] == "{") - (out[k] == "}")
+@given(s=st.text(alphabet=r"\frac{}lebgindht ()$ax1", max_size=40))
+def test_repair_balances(strict, s):
+    depth = 0
+    for piece in re.findall(r"[{}]" if strict else r"\\.|[{}]", T.repair(s, strict), re.S):
+        depth += (piece == "{") - (piece == "}")
         assert depth >= 0
-        k += 1
     assert depth == 0
 
 
+def test_store_after_any_log(spark):
+    """The folded store against one that is changed operation by operation."""
+    rng = random.Random(31)
+    start = [(k, f"x{k}", None if k % 7 == 0 else k % 2 == 0) for k in range(40)]
+    ops, fresh = [], 100
+    for seq in range(1, 400):
+        op = rng.choices(["toggle", "delete", "clear", "insert", "other"], [60, 4, 2, 12, 3])[0]
+        if op == "insert":
+            fresh += 1
+            ops.append((seq * 1000, op, fresh, rng.choice(["y", "y", "", None]), None))
+        else:
+            ops.append((seq * 1000, op, None if op == "clear" else rng.choice([None, rng.randrange(45), rng.randrange(100, fresh + 2)]), None, None))
+    store = {k: bool(f) for k, _, f in start}
+    for _, op, k, latex, _ in ops:
+        if op == "toggle" and k in store:
+            store[k] = not store[k]
+        elif op == "delete":
+            store.pop(k, None)
+        elif op == "clear":
+            store = {k: f for k, f in store.items() if f}
+        elif op == "insert" and latex:
+            store[k] = False
+    rng.shuffle(ops)
+    records = spark.createDataFrame(start, "id bigint, latex string, favorite boolean")
+    log = spark.createDataFrame(ops, "seq bigint, op string, id bigint, latex string, favorite boolean")
+    assert dict(H.current(records, log).select("id", "favorite").collect()) == store
+    assert H.current(records, log.where("false").drop("latex")).count() == 40
+
+
 def test_templates_are_filled_once(spark):
     row = spark.sql("select '{{a}}-{{b}}{{c}}' t, map('a', '{{b}}', 'b', 'x') m")
     assert row.select(T.fill_template(F.col("t"), F.col("m"))).first()[0] == "{{b}}-x{{c}}"
@@ -158,6 +200,7 @@ def test_small_strings(spark):
     assert one(T.guard_repetition(F.lit("abcabcabcabcabcabcabcabc"))) == ""
     assert one(T.guard_repetition(F.lit("abcabcabc"))) == "abcabcabc"
     assert one(T.newer(F.lit("1.10"), F.lit("1.9.3"))) and not one(T.newer(F.lit("1.0"), F.lit("1")))
+    assert one(T.newer(F.lit("1.2.3.4.5.6.7.8.9.2"), F.lit("1.2.3.4.5.6.7.8.9.1"))) and not one(T.newer(F.lit("1"), F.lit("1.0.0.0.0.0.0.0.0.1")))
     assert one(T.escape_json(F.lit('a"b\\\n'))) == 'a\\"b\\\\\\n' and one(T.escape_json(F.lit(None).cast("string"))) == ""
     assert one(T.aligned(F.array().cast("array<string>"))) == "" and one(T.aligned(F.array(F.lit("$$ a $$")))) == "a"
     assert one(T.read_int(F.lit(bytearray(b"\x01\x02")), 0, 2, True)) == 513

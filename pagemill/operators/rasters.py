@@ -321,14 +321,17 @@ def patches(w: Column, side: int = PATCH, stride: int = PATCH_STRIDE) -> Column:
     return F.when(w >= side, F.sequence(F.lit(0), (w - side).cast("int"), F.lit(stride))).otherwise(F.array(F.lit(0)))
 
 
-def patch_vote(parts: DataFrame, votes: DataFrame) -> DataFrame:
-    """(chunk, label): text (1) or formula (0) of chunks (chunk, x, w) by patches (px, pw, p): the overlap is the weight.
+def patch_vote(parts: DataFrame, votes: DataFrame, cell: int = 256) -> DataFrame:
+    """(img, chunk, label): text (1) or formula (0) of chunks (chunk, x, w) by patches (px, pw, p): the overlap is the weight.
 
-    The limit is .65 for chunks below 55 and .40 for others; a tie is text, no patch is formula.
+    The limit is .65 for chunks below 55 and .40 for others; a tie is text, no patch is formula. Chunks meet patches by
+    cells of the width, so only what lies near is paired; a pair counts in the first cell both have.
     """
+    cells = lambda x, w: F.sequence(F.floor(F.col(x) / cell), F.greatest(F.floor(F.col(x) / cell), F.floor((F.col(x) + F.col(w) - 1) / cell)))
     over = F.greatest(F.least(F.col("x") + F.col("w"), F.col("px") + F.col("pw")) - F.greatest("x", "px"), F.lit(0))
     limit = F.when(F.col("w") < 55, 0.65).otherwise(0.40)
-    hit = parts.join(votes, ["img"]).withColumn("o", over).where("o > 0").withColumn("text", F.col("p") >= limit)
+    near = parts.select("img", "chunk", "x", "w", F.explode(cells("x", "w")).alias("cell")).join(votes.select("img", "px", "pw", "p", F.explode(cells("px", "pw")).alias("cell")), ["img", "cell"])
+    hit = near.where(F.col("cell") == F.floor(F.greatest("x", "px") / cell)).withColumn("o", over).where("o > 0").withColumn("text", F.col("p") >= limit)
     sums = hit.groupBy("img", "chunk").agg(F.sum(F.when(F.col("text"), F.col("o")).otherwise(0)).alias("t"), F.sum(F.when(F.col("text"), 0).otherwise(F.col("o"))).alias("f"))
     return parts.join(sums, ["img", "chunk"], "left").select("img", "chunk", F.when(F.col("t").isNull(), 0).when(F.col("t") >= F.col("f"), 1).otherwise(0).alias("label"))
 

@@ -11,9 +11,9 @@ from pagemill.plans.fixtures import ctes, view
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
-# A dictionary of five symbols: labels 1 to 5, 6 is the blank between words; and a vocabulary with marks.
-_SYMBOLS = [(1, "x"), (2, "y"), (3, "z"), (4, "+"), (5, "=")]
-_VOCABULARY = [(0, "<pad>"), (1, "Ġsum"), (2, "</s>"), (3, "▁frac"), (4, "x"), (5, "2"), (6, "Ġ=")]
+# A dictionary of 62 symbols: labels 1 to 62, 63 is the blank between words; and a vocabulary of 64 with marks and blanks.
+_SYMBOLS = [(k, chr(96 + k) if k <= 26 else chr(38 + k) if k <= 52 else str(k - 53)) for k in range(1, 63)]
+_VOCABULARY = [(k, "<%d>" % k if k % 16 == 0 else ("Ġ", "▁", "", "")[k % 4] + "t%d" % k) for k in range(64)]
 
 
 def query(sql: str | None = None):
@@ -31,14 +31,14 @@ def _values(rows: list, names: str) -> str:
 
 
 _E = "{cte}, e AS (SELECT box, t, logits, list_transform(logits, lambda v: exp(v::DOUBLE - list_max(logits)::DOUBLE)) AS ex FROM steps)".format(cte=ctes("steps"))
-# Labels: the first greatest of the first seven scores.
-_IDS = "{cte}, i AS (SELECT box, t, list_position(logits[1:7], list_max(logits[1:7])) - 1 AS id, list_max(logits[1:7])::DOUBLE AS v FROM steps), b AS (SELECT *, lag(id) OVER (PARTITION BY box ORDER BY t) AS before FROM i), c AS (SELECT box, t, id, v FROM b WHERE id > 0 AND (before IS NULL OR before <> id))".format(cte=ctes("steps"))
+# Labels: the first greatest of all scores.
+_IDS = "{cte}, i AS (SELECT box, t, list_position(logits, list_max(logits)) - 1 AS id, list_max(logits)::DOUBLE AS v FROM steps), b AS (SELECT *, lag(id) OVER (PARTITION BY box ORDER BY t) AS before FROM i), c AS (SELECT box, t, id, v FROM b WHERE id > 0 AND (before IS NULL OR before <> id))".format(cte=ctes("steps"))
 
 
-@query(f"{_E} SELECT box, t, round(ex[1] / list_sum(ex), 6) AS p0, round(list_max(ex) / list_sum(ex), 6) AS top FROM e")
+@query(f"{_E} SELECT box, t, unnest(range(64))::INT AS id, round(unnest(list_transform(ex, lambda v: v / list_sum(ex))), 6) AS p FROM e")
 def dec_softmax(spark: SparkSession, d: str) -> DataFrame:
-    p = view(spark, d, "steps").select("box", "t", D.softmax(F.col("logits")).alias("p"))
-    return p.select("box", "t", F.round(F.col("p")[0], 6).alias("p0"), F.round(F.array_max("p"), 6).alias("top"))
+    p = view(spark, d, "steps").select("box", "t", F.posexplode(D.softmax(F.col("logits"))).alias("id", "p"))
+    return p.withColumn("p", F.round("p", 6))
 
 
 @query(f"{ctes('steps')} SELECT box, t, list_position(logits, list_max(logits)) - 1 AS id FROM steps")
@@ -52,8 +52,7 @@ def dec_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
-    few = F.slice("logits", 1, 7)
-    return view(spark, d, "steps").select("box", "t", D.argmax(few).alias("id"), F.array_max(few).cast("double").alias("v"))
+    return view(spark, d, "steps").select("box", "t", D.argmax(F.col("logits")).alias("id"), F.array_max("logits").cast("double").alias("v"))
 
 
 @query(f"{_IDS} SELECT box, t, id FROM c")
@@ -62,11 +61,11 @@ def dec_collapse(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"{_IDS} SELECT box, trim(string_agg(CASE WHEN c.id = 6 THEN ' ' WHEN c.id <= 5 THEN s.ch ELSE '' END, '' ORDER BY t)) AS text, round(avg(v), 6) AS confidence FROM c LEFT JOIN {_values(_SYMBOLS, 'id, ch')} s ON c.id = s.id GROUP BY box"
+    f"{_IDS} SELECT box, trim(string_agg(CASE WHEN c.id = 63 THEN ' ' WHEN c.id <= 62 THEN s.ch ELSE '' END, '' ORDER BY t)) AS text, round(avg(v), 6) AS confidence FROM c LEFT JOIN {_values(_SYMBOLS, 'id, ch')} s ON c.id = s.id GROUP BY box"
 )
 def dec_text(spark: SparkSession, d: str) -> DataFrame:
     symbols = spark.createDataFrame(_SYMBOLS, "id int, ch string")
-    return D.label_text(D.collapse(_labels(spark, d), "box"), symbols, 5, "box").withColumn("confidence", F.round("confidence", 6))
+    return D.label_text(D.collapse(_labels(spark, d), "box"), symbols, 62, "box").withColumn("confidence", F.round("confidence", 6))
 
 
 @query(

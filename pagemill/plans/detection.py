@@ -58,12 +58,12 @@ def det_decode(spark: SparkSession, d: str) -> DataFrame:
     return B.decode_anchors(view(spark, d, "anchors"))
 
 
-@query("SELECT CAST(label AS BIGINT) AS img, vec_id * 10 + a AS anchor, CAST(embedding[a + 1] AS DOUBLE) AS cx, CAST(embedding[a + 51] AS DOUBLE) AS s1 FROM embeddings, (SELECT unnest(range(10)) AS a) WHERE embedding IS NOT NULL AND vec_id IS NOT NULL")
+@query("SELECT CAST(label AS BIGINT) AS img, vec_id * 11 + a AS anchor, CAST(embedding[a + 1] AS DOUBLE) AS cx, CAST(coalesce(embedding[a + 56], 0) AS DOUBLE) AS s1 FROM embeddings, (SELECT unnest(range(11)) AS a) WHERE embedding IS NOT NULL AND vec_id IS NOT NULL")
 def det_transpose(spark: SparkSession, d: str) -> DataFrame:
-    """The first 60 values of a vector as a channel-major output of 10 anchors."""
-    flat = table(spark, d, "embeddings").where("embedding is not null and vec_id is not null").select(F.struct("vec_id", "label").alias("img"), F.slice("embedding", 1, 60).alias("data"))
+    """A vector, with two zeros behind it, as a channel-major output of 11 anchors."""
+    flat = table(spark, d, "embeddings").where("embedding is not null and vec_id is not null").select(F.struct("vec_id", "label").alias("img"), F.concat("embedding", F.array(F.lit(0.0).cast("float"), F.lit(0.0).cast("float"))).alias("data"))
     rows = B.anchor_rows(flat)
-    return rows.select(F.col("img.label").cast("bigint").alias("img"), (F.col("img.vec_id") * 10 + F.col("anchor")).alias("anchor"), F.col("v")[0].cast("double").alias("cx"), F.col("v")[5].cast("double").alias("s1"))
+    return rows.select(F.col("img.label").cast("bigint").alias("img"), (F.col("img.vec_id") * 11 + F.col("anchor")).alias("anchor"), F.col("v")[0].cast("double").alias("cx"), F.col("v")[5].cast("double").alias("s1"))
 
 
 @query(f"{ctes('boxes')} SELECT img, box_id, CAST(row_number() OVER (PARTITION BY img ORDER BY y, x, box_id) AS INT) AS pos FROM boxes")
@@ -135,12 +135,33 @@ def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return b.where("box_id % 3 <> 0"), b.where("box_id % 3 = 0")
 
 
-@query()
+_TEXTS, _FORMULAS = (f"{{n}} AS (SELECT * FROM boxes WHERE box_id % 3 {op} 0)" for op in ("<>", "="))
+# Each formula on the height of a text box, from left to right, cuts the first text segment that it meets.
+_MEETS = "NOT s.f AND c[1].x < s.x + s.w AND c[1].x + c[1].w > s.x"
+_SEGMENTS = f"""{ctes("boxes")}, {_TEXTS.format(n="tx")}, {_FORMULAS.format(n="fm")},
+on_h AS (SELECT tx.img, tx.box_id, any_value(tx.x) AS x, any_value(tx.w) AS w, list({{'x': fm.x, 'w': fm.w, 'f': true}} ORDER BY fm.x, fm.box_id) FILTER (fm.box_id IS NOT NULL) AS fs
+FROM tx LEFT JOIN fm ON fm.img = tx.img AND fm.y < tx.y + tx.h AND fm.y + fm.h > tx.y GROUP BY tx.img, tx.box_id),
+cut AS (SELECT img, box_id, list_reduce(list_concat([[{{'x': x, 'w': w, 'f': false}}]], list_transform(coalesce(fs, []), lambda g: [g])), lambda acc, c: CASE WHEN len(list_filter(acc, lambda s: {_MEETS})) = 0 THEN acc
+ELSE flatten(list_transform(acc, lambda s, i: CASE WHEN i = list_position(list_transform(acc, lambda s: {_MEETS}), true)
+THEN list_filter([{{'x': s.x, 'w': c[1].x - s.x, 'f': false}}, {{'x': c[1].x, 'w': c[1].w, 'f': true}}, {{'x': c[1].x + c[1].w, 'w': s.x + s.w - (c[1].x + c[1].w), 'f': false}}], lambda q: q.f OR q.w > 6) ELSE [s] END)) END) AS parts FROM on_h),
+seg AS (SELECT img, box_id, unnest(range(len(parts)))::INT AS pos, unnest(parts) AS s FROM cut)"""
+
+
+@query(f"{_SEGMENTS} SELECT img, box_id, pos, s.x AS x, s.w AS w, s.f AS is_formula FROM seg")
 def det_split(spark: SparkSession, d: str) -> DataFrame:
     return B.split_by_formulas(*_halves(spark, d))
 
 
-@query()
+_JOINS = "abs((g.y + g.h / 2.0::DOUBLE) - (c[1].y + c[1].h / 2.0::DOUBLE)) < (g.h + c[1].h) / 4.0::DOUBLE AND c[1].x - (g.x + g.w) < (g.h + c[1].h) / 2.0::DOUBLE * 1.2::DOUBLE"
+
+
+@query(
+    f"""{ctes("boxes")}, l AS (SELECT img, list({{'x': x, 'y': y, 'w': w, 'h': h, 'conf': conf, 'box_id': box_id}} ORDER BY y, x, box_id) AS bs FROM boxes GROUP BY img),
+k AS (SELECT img, unnest(list_reduce(list_transform(bs, lambda b: [b]), lambda acc, c: CASE WHEN len(list_filter(acc, lambda g: {_JOINS})) = 0 THEN list_concat(acc, c)
+ELSE list_transform(acc, lambda g, i: CASE WHEN i = list_position(list_transform(acc, lambda g: {_JOINS}), true)
+THEN {{'x': least(g.x, c[1].x), 'y': least(g.y, c[1].y), 'w': greatest(g.x + g.w, c[1].x + c[1].w) - least(g.x, c[1].x), 'h': greatest(g.y + g.h, c[1].y + c[1].h) - least(g.y, c[1].y), 'conf': greatest(g.conf, c[1].conf), 'box_id': g.box_id}} ELSE g END) END)) AS b FROM l)
+SELECT img, b.x AS x, b.y AS y, b.w AS w, b.h AS h, b.conf AS conf, b.box_id AS box_id FROM k"""
+)
 def det_merged_rows(spark: SparkSession, d: str) -> DataFrame:
     return B.merge_rows(view(spark, d, "boxes"))
 
@@ -150,7 +171,11 @@ def det_merged_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return B.merge_overlapping(view(spark, d, "boxes"))
 
 
-@query()
+@query(
+    f"""{_SEGMENTS}, l AS (SELECT img, list({{'x': x, 'y': y, 'w': w, 'h': h, 'box_id': box_id}} ORDER BY y, x, box_id) AS bs FROM fm GROUP BY img),
+k AS (SELECT img, unnest(list_reduce(list_transform(bs, lambda b: [b]), lambda acc, c: CASE WHEN len(list_filter(acc, lambda k: {_COMMON} * 100 > greatest(c[1].w * c[1].h, 1) * 70)) > 0 THEN acc ELSE list_concat(acc, c) END)) AS b FROM l)
+SELECT img, box_id, s.x AS x, s.w AS w, 'text' AS kind FROM seg WHERE NOT s.f UNION ALL SELECT img, b.box_id, b.x, b.w, 'formula' FROM k"""
+)
 def det_mixed(spark: SparkSession, d: str) -> DataFrame:
     """Segments of the text boxes together with the formulas that no other one covers."""
     texts, formulas = _halves(spark, d)
@@ -162,12 +187,28 @@ def _regions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "regions").where("region_id is not null and img is not null").dropDuplicates(["region_id"])
 
 
-@query()
+_FITS = "(least(ln[1].y + ln[1].h, c[1][1].y + c[1][1].h) - greatest(ln[1].y, c[1][1].y)) * 100 >= greatest(least(ln[1].h, c[1][1].h), 1) * 45"
+# Every region joins the first line whose leftmost member it overlaps; the line is then put in order again.
+_GROUPED = f"""WITH rg AS (SELECT DISTINCT ON (region_id) * FROM regions WHERE region_id IS NOT NULL AND img IS NOT NULL {{where}}),
+l AS (SELECT img, list([{{{{'x': x, 'y': y, 'id': region_id, 'h': h}}}}] ORDER BY y, x, region_id) AS rs FROM rg GROUP BY img),
+k AS (SELECT img, list_reduce(list_transform(rs, lambda r: [r]), lambda acc, c: CASE WHEN len(list_filter(acc, lambda ln: {_FITS})) = 0 THEN list_concat(acc, c)
+ELSE list_transform(acc, lambda ln, i: CASE WHEN i = list_position(list_transform(acc, lambda ln: {_FITS}), true) THEN list_sort(list_concat(ln, c[1])) ELSE ln END) END) AS lns FROM l),
+u AS (SELECT img, unnest(range(len(lns)))::INT AS line, unnest(lns) AS members FROM k),
+m AS (SELECT img, line, unnest(range(len(members)))::INT AS pos, unnest(members).id AS region_id FROM u)"""
+_TRIMMED = r"regexp_replace({t}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
+
+
+@query(f"{_GROUPED.format(where='')} SELECT img, line, pos, region_id FROM m")
 def layout_lines(spark: SparkSession, d: str) -> DataFrame:
     return B.group_lines(_regions(spark, d))
 
 
-@query()
+@query(
+    f"""{_GROUPED.format(where='AND text IS NOT NULL')}, b AS (SELECT m.img, line, pos, CASE WHEN type = 'formula' THEN '$$' || chr(10) || text || chr(10) || '$$' ELSE text END AS alone,
+CASE WHEN type = 'formula' THEN '$$' || chr(10) || text || chr(10) || '$$ ' ELSE nullif({_TRIMMED.format(t='text')}, '') END AS body FROM m JOIN rg ON rg.region_id = m.region_id),
+t AS (SELECT img, line, {_TRIMMED.format(t="coalesce(string_agg(body, ' ' ORDER BY pos), '')")} AS t, count(*) AS n, min(alone) AS alone FROM b GROUP BY img, line)
+SELECT img, CASE WHEN sum(n) = 1 THEN min(alone) ELSE string_agg(t, chr(10) ORDER BY line) END AS text FROM t GROUP BY img"""
+)
 def layout_texts(spark: SparkSession, d: str) -> DataFrame:
     return B.layout_text(_regions(spark, d).where("text is not null"))
 

@@ -238,7 +238,7 @@ def src_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return I.vocabulary(spark.createDataFrame([('{"model":{"vocab":{"b":1,"a":0,"c":2}}}',)], "value string"))
 
 
-@query()
+@query("SELECT img, CASE WHEN img % 9 BETWEEN 1 AND 8 THEN img % 9 ELSE 1 END::INT AS orientation FROM text_result")
 def src_exif(spark: SparkSession, d: str) -> DataFrame:
     """Orientation of small JPEG heads made from the ids of pictures."""
     head = "ffd8ffe1001e457869660000" + "4d4d002a00000008" + "0001" + "0112000300000001"
@@ -246,16 +246,14 @@ def src_exif(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "text_result").select("img", I.exif_orientation(raw).alias("orientation"))
 
 
-@query("SELECT user_id AS canvas, count(*) AS ops FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
-def sta_undo(spark: SparkSession, d: str) -> DataFrame:
-    """Undo and redo over a log made from events; the number of operations shows that none is lost."""
-    ops = table(spark, d, "events").where("user_id is not null").select(F.col("user_id").alias("canvas"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 4 == 0, "undo").when(F.col("event_id") % 7 == 0, "redo").otherwise("draw").alias("op"))
-    state = S.undo_state(ops)
-    return ops.groupBy("canvas").agg(F.count("*").alias("ops")).join(state, "canvas").select("canvas", "ops")
+_UNDONE = """WITH o AS (SELECT user_id AS canvas, list(CASE WHEN event_id % 4 = 0 THEN 2 WHEN event_id % 7 = 0 THEN 3 ELSE 1 END ORDER BY event_id) AS ops FROM events WHERE user_id IS NOT NULL GROUP BY user_id),
+s AS (SELECT canvas, list_reduce(list_transform(ops, lambda o: {'o': o, 'u': 0, 'r': 0}), lambda s, x: CASE WHEN x.o = 1 THEN {'o': 0, 'u': least(s.u + 1, 60), 'r': 0} WHEN x.o = 2 AND s.u > 0 THEN {'o': 0, 'u': s.u - 1, 'r': s.r + 1}
+WHEN x.o = 3 AND s.r > 0 THEN {'o': 0, 'u': least(s.u + 1, 60), 'r': s.r - 1} ELSE s END, {'o': 0, 'u': 0, 'r': 0}) AS s FROM o) SELECT canvas, CAST(s.u AS INT) AS undo, CAST(s.r AS INT) AS redo FROM s"""
 
 
-@query()
-def sta_undo_sizes(spark: SparkSession, d: str) -> DataFrame:
+@query(_UNDONE)
+def sta_undo(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of the undo and redo stacks after a log made from events."""
     ops = table(spark, d, "events").where("user_id is not null").select(F.col("user_id").alias("canvas"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 4 == 0, "undo").when(F.col("event_id") % 7 == 0, "redo").otherwise("draw").alias("op"))
     return S.undo_state(ops)
 

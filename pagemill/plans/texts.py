@@ -111,24 +111,32 @@ def str_fences(spark: SparkSession, d: str) -> DataFrame:
     return _each(spark, d, plain=T.strip_fences(plain), loud=T.strip_fences(loud, True))
 
 
-@query("SELECT id, CASE WHEN len(s) > 20 AND p IS NOT NULL AND len(p) * 10 < len(s) * 4 THEN '' ELSE s END AS guarded FROM (SELECT id, s, list_filter([CASE WHEN starts_with(s, repeat(s[1:n], 3)) THEN s[1:n] END FOR n IN range(3, len(s) // 3 + 1)], lambda x: x IS NOT NULL)[1] AS p FROM (SELECT id, CASE WHEN id % 3 = 0 THEN repeat(latex[1:12], 5) ELSE latex[1:60] END AS s FROM history WHERE latex IS NOT NULL))")
-def str_guarded(spark: SparkSession, d: str) -> DataFrame:
-    s = F.when(F.col("id") % 3 == 0, F.repeat(F.substring("latex", 1, 12), F.lit(5))).otherwise(F.substring("latex", 1, 60))
-    return _history(spark, d).where("latex is not null").select("id", T.guard_repetition(s).alias("guarded"))
+_REPEATED = "(SELECT {keys}, {s} AS s, list_filter([CASE WHEN starts_with({s}, repeat({s}[1:n], 3)) THEN {s}[1:n] END FOR n IN range(3, len({s}) // 3 + 1)], lambda x: x IS NOT NULL)[1] AS p FROM history WHERE {s} IS NOT NULL)"
+_GUARDED = "SELECT {keys}, CASE WHEN len(s) > 20 AND p IS NOT NULL AND len(p) * 10 < len(s) * 4 THEN '' ELSE s END AS guarded FROM " + _REPEATED
 
 
-@query()
-def str_guarded_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The guard over every value as it stands; the SQL of str_guarded only covers made-up and shortened ones."""
+@query(_GUARDED.format(keys="id", s="latex"))
+def str_guarded(spark: SparkSession, d: str) -> DataFrame:
     return _history(spark, d).where("latex is not null").select("id", T.guard_repetition(F.col("latex")).alias("guarded"))
 
 
-_FOLD = {"识": "識", "别": "別", "图": "圖", "页": "頁", "线": "線", "数": "數"}
+@query(_GUARDED.format(keys="id", s="repeat(source || type || '+', 3 + id % 3)"))
+def str_loops(spark: SparkSession, d: str) -> DataFrame:
+    """Names of sources and types said several times over: some as long as makes a loop, some too short."""
+    said = table(spark, d, "history").where("source is not null and type is not null").selectExpr("id", "repeat(source || type || '+', cast(3 + id % 3 as int)) as said")
+    return said.select("id", T.guard_repetition(F.col("said")).alias("guarded"))
+
+
+# Some traditional characters and the simplified ones that stand for them; whole tables are a parameter.
+_FOLD = {"識": "识", "別": "别", "圖": "图", "頁": "页", "線": "线", "數": "数", "陣": "阵", "積": "积", "變": "变", "覆": "覆"}
+_OLD, _NEW = "".join(_FOLD), "".join(_FOLD.values())
 
 
-@query(f"SELECT doc_id, translate(text, '{''.join(_FOLD)}', '{''.join(_FOLD.values())}') AS folded FROM documents")
+@query(f"SELECT doc_id, translate(translate(text, '{_NEW[::2]}', '{_OLD[::2]}'), '{_OLD}', '{_NEW}') AS folded FROM documents")
 def str_folded(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.fold_characters(F.col("text"), _FOLD).alias("folded"))
+    """Documents, half of whose characters of the table are written in the traditional way, folded to simplified ones."""
+    old = F.translate("text", _NEW[::2], _OLD[::2])
+    return table(spark, d, "documents").select("doc_id", T.fold_characters(old, _FOLD).alias("folded"))
 
 
 @query("SELECT id, 'saved ' || coalesce(source, '{{from}}') || ' as ' || coalesce(type, '{{kind}}') || ' {{x}}' AS message FROM history")

@@ -58,10 +58,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends at files every executor reaches."""
+    """Write df to the shared folder and read it back: lineage ends at files every executor reaches.
+
+    Results may be read as long as the session lives, so the table goes when the driver's JVM ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gone = spark._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(gone)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -85,20 +85,36 @@ def once(events: DataFrame, time: str, late: str = "10 minutes") -> DataFrame:
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(["job_id"])
 
 
+def _undone(limit: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, undo, redo = None, 0, 0
+        started = False
+        for b in batches:
+            out = []
+            for canvas, op in zip(b["canvas"].tolist(), b["op"]):
+                if not started or canvas != now:
+                    if started:
+                        out.append((now, undo, redo))
+                    started, now, undo, redo = True, canvas, 0, 0
+                if op == "draw":
+                    undo, redo = min(undo + 1, limit), 0
+                elif op == "undo" and undo:
+                    undo, redo = undo - 1, redo + 1
+                elif op == "redo" and redo:
+                    undo, redo = min(undo + 1, limit), redo - 1
+            yield pd.DataFrame(out, columns=["canvas", "undo", "redo"])
+        if started:
+            yield pd.DataFrame([(now, undo, redo)], columns=["canvas", "undo", "redo"])
+
+    return run
+
+
 def undo_state(ops: DataFrame, limit: int = UNDO) -> DataFrame:
     """(canvas, undo, redo): sizes of both stacks after a log of (canvas, seq, op) with op draw, undo or redo.
 
-    A drawing empties the redo stack and the undo stack keeps `limit` entries: a fold over the log of one canvas.
+    A drawing empties the redo stack and the undo stack keeps `limit` entries. Logs pass through sorted, one operation after
+    the other, and only the two sizes are held; rows with a null canvas have none.
     """
-    seq = ops.groupBy("canvas").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "op"))), lambda s: s["op"]).alias("ops"))
-    pair = lambda u, r: F.struct(u.cast("int").alias("undo"), r.cast("int").alias("redo"))
-
-    def step(s, op):
-        return (
-            F.when(op == "draw", pair(F.least(s["undo"] + 1, F.lit(limit)), F.lit(0)))
-            .when((op == "undo") & (s["undo"] > 0), pair(s["undo"] - 1, s["redo"] + 1))
-            .when((op == "redo") & (s["redo"] > 0), pair(F.least(s["undo"] + 1, F.lit(limit)), s["redo"] - 1))
-            .otherwise(s)
-        )
-
-    return seq.select("canvas", F.aggregate("ops", pair(F.lit(0), F.lit(0)), step).alias("s")).select("canvas", "s.undo", "s.redo")
+    canvas = ops.schema["canvas"].dataType.simpleString()
+    logs = ops.where("canvas is not null").select("canvas", "seq", "op").repartition("canvas").sortWithinPartitions("canvas", "seq").select("canvas", "op")
+    return logs.mapInPandas(_undone(limit), f"canvas {canvas}, undo int, redo int")

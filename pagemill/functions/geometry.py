@@ -97,6 +97,18 @@ def crop_bounds(points: Column, w: Column, h: Column) -> Column:
     return F.struct(pick(x, F.lit(0)).alias("x"), pick(y, F.lit(0)).alias("y"), pick(cw, w).alias("w"), pick(ch, h).alias("h"))
 
 
+def clipped(pixels: DataFrame, paths: DataFrame) -> DataFrame:
+    """(img, x, y, v): pixels (img, x, y, v) within the bounds of their path (img, points), moved to its corner, white outside the path."""
+    inside = pixels.join(paths, "img")
+    low = lambda f: F.floor(F.array_min(F.transform("points", lambda p: p[f]))).cast("int")
+    high = lambda f: F.ceil(F.array_max(F.transform("points", lambda p: p[f]))).cast("int")
+    inside = inside.withColumns({"x0": low("x"), "y0": low("y"), "x1": high("x"), "y1": high("y")}).where("x >= x0 and x < x1 and y >= y0 and y < y1")
+    middle = lambda c: F.col(c) + 0.5
+    # Judged before x and y get their new meaning: a lambda would take the aliases of its own select.
+    inside = inside.withColumn("within", in_polygon(middle("x"), middle("y"), F.col("points")))
+    return inside.select("img", (F.col("x") - F.col("x0")).alias("x"), (F.col("y") - F.col("y0")).alias("y"), F.when(F.col("within"), F.col("v")).otherwise(255).alias("v"))
+
+
 def homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
     """The 3x3 matrix that takes four points to four others; None where no such matrix exists."""
     rows, right = [], []

@@ -241,14 +241,20 @@ def escape_json(s: Column) -> Column:
 
 
 def result_json(kind: str) -> Column:
-    """A result row as JSON, in the shape of its kind; mixed results have no confidence of their own."""
-    shapes = {"formula": ["latex", "confidence"], "text": ["text", "confidence", "region_count", "time_ms"], "mixed": ["formatted_text", "time_ms", "regions"]}
-    return F.to_json(F.struct(*shapes[kind]))
+    """A result row as JSON, in the shape of its kind (formula: latex; text: text; both with confidence and time_ms;
+    mixed: regions and formatted_text, without a confidence of its own)."""
+    done, time = F.lit(True).alias("done"), F.coalesce("time_ms", F.lit(0)).alias("timeMs")
+    if kind == "mixed":
+        fields = [F.transform("regions", lambda r: F.struct(*(r[c].alias(c) for c in ("x", "y", "w", "h", "type")), F.coalesce(r["text"], F.lit("")).alias("text"), F.coalesce(r["confidence"], F.lit(0.0)).alias("confidence"))).alias("regions"), time, F.coalesce("formatted_text", F.lit("")).alias("formattedText")]
+    else:
+        name = {"formula": "latex", "text": "text"}[kind]
+        fields = [F.coalesce(name, F.lit("")).alias(name), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), time]
+    return F.to_json(F.struct(done, *fields))
 
 
 def parse_result(s: Column) -> Column:
     """A result from JSON; fields it lacks are null, broken JSON gives nulls."""
-    return F.from_json(s, "latex string, text string, formatted_text string, confidence double, region_count int, time_ms int")
+    return F.from_json(s, "done boolean, latex string, text string, formattedText string, confidence double, timeMs int, regions array<struct<x:int,y:int,w:int,h:int,type:string,text:string,confidence:double>>, error string")
 
 
 def read_int(raw: Column, at: int, n: int, little: bool) -> Column:

@@ -7,7 +7,6 @@ at most as many boxes as the detector has anchors, so these arrays are bounded.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -212,15 +211,23 @@ def split_by_formulas(texts: DataFrame, formulas: DataFrame, margin: int = SPLIT
     return both.select("img", "box_id", F.posexplode(parts).alias("pos", "s")).select("img", "box_id", "pos", F.col("s.x").alias("x"), F.col("s.w").alias("w"), F.col("s.f").alias("is_formula"))
 
 
-def uncovered(boxes: DataFrame, limit: float = COVERED) -> DataFrame:
-    """Boxes in reading order, without those that an earlier kept one covers beyond limit of their own area."""
+def uncovered(boxes: DataFrame, limit: float = COVERED, existing: DataFrame | None = None) -> DataFrame:
+    """Boxes in reading order, without those that an earlier kept one, or one of the existing results (img, x, y, w, h),
+    covers beyond limit of their own area. Existing ones come first and are not put out."""
     pct = round(limit * 100)
+    seq = _sorted(boxes, F.col("y"), F.col("x"), F.col("box_id"))
+    none = F.array().cast(f"array<{BOX}>")
+    if existing is None:
+        seq = seq.withColumn("known", none)
+    else:
+        whole = existing.select("img", *(F.col(c).cast("int").alias(c) for c in "xywh"), F.lit(0.0).alias("conf"), F.lit(-1).cast("bigint").alias("box_id"))
+        seq = seq.join(whole.groupBy("img").agg(F.collect_list(_box()).alias("known")), "img", "left").withColumn("known", F.coalesce("known", none))
 
     def covered(k: Column, b: Column) -> Column:
         return intersection(k, b) * 100 > F.greatest(b["w"] * b["h"], F.lit(1)) * pct
 
-    kept = F.aggregate("boxes", F.array().cast(f"array<{BOX}>"), lambda acc, b: F.when(F.exists(acc, lambda k: covered(k, b)), acc).otherwise(F.concat(acc, F.array(b))))
-    return _sorted(boxes, F.col("y"), F.col("x"), F.col("box_id")).select("img", F.inline(kept))
+    kept = F.aggregate("boxes", F.col("known"), lambda acc, b: F.when(F.exists(acc, lambda k: covered(k, b)), acc).otherwise(F.concat(acc, F.array(b))))
+    return seq.select("img", F.filter(kept, lambda k, i: i >= F.size("known")).alias("kept")).select("img", F.inline("kept"))
 
 
 def unclip(area: Column, perimeter: Column, ratio: float = UNCLIP) -> Column:
@@ -299,11 +306,70 @@ def layout_text(regions: DataFrame) -> DataFrame:
     return line.groupBy("img").agg(F.when(F.sum("n") == 1, F.min("alone")).otherwise(lines).alias("text"))
 
 
-def crop_boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """mapInPandas body: pixels of each box of a flat raster (img, w, h, px, box) as (img, box_id, px)."""
-    for b in batches:
-        rows = []
-        for img, w, px, boxes in zip(b["img"], b["w"], b["px"], b["boxes"]):
-            for r in boxes:
-                rows.append((img, r["box_id"], [v for y in range(r["y"], r["y"] + r["h"]) for v in px[y * w + r["x"] : y * w + r["x"] + r["w"]]]))
-        yield pd.DataFrame(rows, columns=["img", "box_id", "px"])
+def crops(images: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(img, box_id, w, h, px): the pixels of boxes (img, box_id, x, y, w, h) that lie within flat rasters (img, w, h, px)."""
+    at = boxes.groupBy("img").agg(F.collect_list(F.struct("box_id", "x", "y", "w", "h")).alias("boxes"))
+    one = images.join(at, "img").select("img", F.col("w").alias("wide"), "px", F.col("h").alias("tall"), F.inline("boxes"))
+    kept = one.select("img", "box_id", "wide", "px", F.inline(F.array(clamp_crop(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col("wide"), F.col("tall")))))
+    rows = F.transform(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1), lambda r: F.slice("px", (r * F.col("wide") + F.col("x") + 1).cast("int"), F.col("w")))
+    return kept.select("img", "box_id", "w", "h", F.flatten(rows).alias("px"))
+
+
+def padded_bounds(points: DataFrame, sizes: DataFrame, pad: int = 20) -> DataFrame:
+    """(img, x, y, w, h): bounds of the inked points (img, x, y) with a margin, within the canvas (img, w, h); none where nothing is inked."""
+    b = points.groupBy("img").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).join(sizes.select("img", F.col("w").alias("wide"), F.col("h").alias("tall")), "img")
+    low = lambda c: F.greatest(F.lit(0), F.col(c) - pad)
+    side = lambda a, z, most: F.least(F.col(most), F.col(z) - F.col(a) + 2 * pad)
+    return b.select("img", low("x0").alias("x"), low("y0").alias("y"), side("x0", "x1", "wide").alias("w"), side("y0", "y1", "tall").alias("h"))
+
+
+#: Least sizes of blocks (width, height), of lines (height) and of chunks (width).
+LEAST_BLOCK, LEAST_LINE, LEAST_CHUNK = (40, 15), 15, 20
+#: Blocks below this width or height are fragments; gaps are bridged up to so many rows, from this common share and so many columns on.
+FRAGMENT, BRIDGED, SHARED, COLUMNS = (300, 20), 80, 0.3, 2
+
+
+def merge_blocks(blocks: DataFrame) -> DataFrame:
+    """(img, x, y, w, h): blocks (img, x, y, w, h, cols) of the least size, in order of y and x, each united with the block
+    united so far if they touch and share columns, or if a narrow gap lies between, one of them is a fragment, they share
+    enough columns, and cols, the columns of content through the gap above a block, are enough."""
+    item = "struct<x:int,y:int,w:int,h:int>"
+    big = blocks.where((F.col("w") >= LEAST_BLOCK[0]) & (F.col("h") >= LEAST_BLOCK[1]))
+    one = F.struct(*(F.col(c).cast("int").alias(c) for c in ("y", "x", "w", "h", "cols")))
+    seq = big.groupBy("img").agg(F.array_sort(F.collect_list(one)).alias("bs"))
+
+    def step(acc: Column, b: Column) -> Column:
+        p = F.element_at(acc, -1)
+        gap = b["y"] - (p["y"] + p["h"])
+        apart = (b["x"] + b["w"] < p["x"]) | (p["x"] + p["w"] < b["x"])
+        common = F.greatest(F.least(p["x"] + p["w"], b["x"] + b["w"]) - F.greatest(p["x"], b["x"]), F.lit(0))
+        small_one = (p["w"] < FRAGMENT[0]) | (p["h"] < FRAGMENT[1]) | (b["w"] < FRAGMENT[0]) | (b["h"] < FRAGMENT[1])
+        bridge = (common * 100 >= F.least(p["w"], b["w"]) * round(SHARED * 100)) & (common > 0) & small_one & (b["cols"] >= COLUMNS)
+        unite = F.when(gap <= 0, ~apart).otherwise((gap <= BRIDGED) & bridge)
+        x = F.least(p["x"], b["x"])
+        both = F.struct(x.alias("x"), p["y"].alias("y"), (F.greatest(p["x"] + p["w"], b["x"] + b["w"]) - x).alias("w"), (F.greatest(p["y"] + p["h"], b["y"] + b["h"]) - p["y"]).alias("h"))
+        new = F.struct(b["x"].alias("x"), b["y"].alias("y"), b["w"].alias("w"), b["h"].alias("h"))
+        return F.when(unite, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(both).cast(f"array<{item}>"))).otherwise(F.concat(acc, F.array(new).cast(f"array<{item}>")))
+
+    first = F.transform(F.slice("bs", 1, 1), lambda b: F.struct(b["x"].alias("x"), b["y"].alias("y"), b["w"].alias("w"), b["h"].alias("h"))).cast(f"array<{item}>")
+    return seq.select("img", F.inline(F.aggregate(F.slice("bs", 2, F.greatest(F.size("bs") - 1, F.lit(0))), first, step)))
+
+
+def pieces(found: DataFrame, extents: DataFrame, least: int) -> DataFrame:
+    """(img, lo, size): what lies between gaps (img, lo, hi; ends included) along an extent (img, size), if at least so long;
+    the whole extent where nothing is."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("img").orderBy("lo")
+    within = found.join(extents, "img").select("img", "lo", F.col("hi") + 1, "size").toDF("img", "lo", "end", "all")
+    before = within.select("img", F.coalesce(F.lag("end").over(w), F.lit(0)).alias("at"), F.col("lo").alias("to"))
+    rest = within.groupBy("img", F.col("all").alias("to")).agg(F.max("end").alias("at")).select("img", "at", "to")
+    some = before.unionByName(rest).select("img", F.col("at").cast("int").alias("lo"), (F.col("to") - F.col("at")).cast("int").alias("size")).where(F.col("size") >= least)
+    whole = extents.join(some.select("img").distinct(), "img", "left_anti").select("img", F.lit(0).alias("lo"), F.col("size").cast("int").alias("size"))
+    return some.unionByName(whole)
+
+
+def capture_size(w: Column, h: Column, screen_w: Column, screen_h: Column) -> Column:
+    """struct(w, h, degrees) of a camera picture: turned by a quarter if the screen stands and the picture lies."""
+    turn = (screen_h > screen_w) & (w > h)
+    return F.struct(F.when(turn, h).otherwise(w).alias("w"), F.when(turn, w).otherwise(h).alias("h"), F.when(turn, 90).otherwise(0).alias("degrees"))

@@ -183,6 +183,54 @@ def det_mixed(spark: SparkSession, d: str) -> DataFrame:
     return seg.unionByName(B.uncovered(formulas).select("img", "box_id", "x", "w", F.lit("formula").alias("kind")))
 
 
+@query(
+    f"""{_SEGMENTS}, ex AS (SELECT seg.img, list({{'x': s.x, 'y': b.y, 'w': s.w, 'h': b.h, 'box_id': -1::BIGINT}}) AS ks FROM seg JOIN boxes b ON b.box_id = seg.box_id WHERE s.f GROUP BY seg.img),
+l AS (SELECT fm.img, any_value(ks) AS ks, list({{'x': x, 'y': y, 'w': w, 'h': h, 'box_id': box_id}} ORDER BY y, x, box_id) AS bs FROM fm LEFT JOIN ex ON ex.img = fm.img GROUP BY fm.img),
+k AS (SELECT img, unnest(list_reduce(list_transform(bs, lambda b: [b]), lambda acc, c: CASE WHEN len(list_filter(acc, lambda k: {_COMMON} * 100 > greatest(c[1].w * c[1].h, 1) * 70)) > 0 THEN acc ELSE list_concat(acc, c) END, coalesce(ks, []))) AS b FROM l)
+SELECT img, b.box_id AS box_id FROM k WHERE b.box_id >= 0"""
+)
+def det_left_over(spark: SparkSession, d: str) -> DataFrame:
+    """Formulas that neither a formula segment of a text box nor an earlier formula covers."""
+    texts, formulas = _halves(spark, d)
+    found = B.split_by_formulas(texts, formulas).where("is_formula").select("img", "box_id", "x", "w")
+    return B.uncovered(formulas, existing=found.join(texts.select("img", "box_id", "y", "h"), ["img", "box_id"])).select("img", "box_id")
+
+
+_UNITE = "CASE WHEN c[1].y - (p.y + p.h) <= 0 THEN NOT (c[1].x + c[1].w < p.x OR p.x + p.w < c[1].x) ELSE c[1].y - (p.y + p.h) <= 80 AND least(p.x + p.w, c[1].x + c[1].w) > greatest(p.x, c[1].x) AND (least(p.x + p.w, c[1].x + c[1].w) - greatest(p.x, c[1].x)) * 100 >= least(p.w, c[1].w) * 30 AND (p.w < 300 OR p.h < 20 OR c[1].w < 300 OR c[1].h < 20) AND c[1].cols >= 2 END"
+
+
+@query(
+    f"""{ctes("boxes")}, l AS (SELECT img, list({{'x': x, 'y': y, 'w': w * 4, 'h': h, 'cols': CAST(box_id % 4 AS INT)}} ORDER BY y, x, w, h, box_id % 4) AS bs FROM boxes WHERE w * 4 >= 40 AND h >= 15 GROUP BY img),
+k AS (SELECT img, unnest(list_reduce(list_transform(bs, lambda b: [b]), lambda acc, c: CASE WHEN len(list_filter(acc[-1:], lambda p: {_UNITE})) = 0 THEN list_concat(acc, c)
+ELSE list_concat(acc[:-2], list_transform(acc[-1:], lambda p: {{'x': least(p.x, c[1].x), 'y': p.y, 'w': greatest(p.x + p.w, c[1].x + c[1].w) - least(p.x, c[1].x), 'h': greatest(p.y + p.h, c[1].y + c[1].h) - p.y, 'cols': 0}})) END)) AS b FROM l)
+SELECT img, b.x AS x, b.y AS y, b.w AS w, b.h AS h FROM k"""
+)
+def det_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes, made wider, as blocks of content."""
+    return B.merge_blocks(view(spark, d, "boxes").withColumns({"w": F.col("w") * 4, "cols": (F.col("box_id") % 4).cast("int")}))
+
+
+@query(f"{ctes('boxes')} SELECT img, greatest(min(x) - 20, 0) AS x, greatest(min(y) - 20, 0) AS y, least(700, max(x) - min(x) + 40) AS w, least(900, max(y) - min(y) + 40) AS h FROM boxes GROUP BY img")
+def det_padded(spark: SparkSession, d: str) -> DataFrame:
+    """Corners of boxes as ink on a canvas of 700 by 900."""
+    b = view(spark, d, "boxes")
+    return B.padded_bounds(b.select("img", "x", "y"), b.select("img").distinct().withColumns({"w": F.lit(700), "h": F.lit(900)}))
+
+
+@query(f"{ctes('sizes')} SELECT img, CASE WHEN w > h THEN h ELSE w END AS w, CASE WHEN w > h THEN w ELSE h END AS h, CASE WHEN w > h THEN 90 ELSE 0 END AS degrees FROM sizes")
+def geo_capture(spark: SparkSession, d: str) -> DataFrame:
+    """Camera pictures on a standing screen."""
+    return view(spark, d, "sizes").select("img", F.inline(F.array(B.capture_size(F.col("w"), F.col("h"), F.lit(400), F.lit(800)))))
+
+
+@query(f"{ctes('sizes')} SELECT img, round((2 * w + 3) / (w * 0.001::DOUBLE + 1), 6) AS px, round((h - w) / (w * 0.001::DOUBLE + 1), 6) AS py FROM sizes")
+def geo_applied(spark: SparkSession, d: str) -> DataFrame:
+    """The far corner of every image under one matrix."""
+    m = F.array(*(F.lit(float(v)) for v in (2, 0, 3, -1, 1, 0, 0.001, 0, 1)))
+    at = G.apply_homography(m, F.col("w").cast("double"), F.col("h").cast("double"))
+    return view(spark, d, "sizes").select("img", at.alias("p")).select("img", F.round("p.x", 6).alias("px"), F.round("p.y", 6).alias("py"))
+
+
 def _regions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "regions").where("region_id is not null and img is not null").dropDuplicates(["region_id"])
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.functions import geometry as G
+from pagemill.operators import boxes as B
+from pagemill.operators import models as M
 from pagemill.operators import rasters as R
 from pagemill.session import table
 
@@ -238,6 +241,52 @@ def ras_merged_parts(spark: SparkSession, d: str) -> DataFrame:
     return R.merge_adjacent(_parts(spark, d))
 
 
+@query(
+    f"""{_PX}, {_ROWS}, hit AS (SELECT img, y, y - row_number() OVER (PARTITION BY img ORDER BY y) AS g FROM rw WHERE n < 3), gp AS (SELECT img, min(y) AS lo, max(y) + 1 AS hi FROM hit GROUP BY img, g),
+ends AS (SELECT img, lo AS pl, 'to' AS k FROM gp UNION ALL SELECT img, hi, 'from' FROM gp UNION ALL SELECT DISTINCT img, 0, 'from' FROM px UNION ALL SELECT DISTINCT img, 8, 'to' FROM px),
+fr AS (SELECT img, pl, row_number() OVER (PARTITION BY img ORDER BY pl) AS n FROM ends WHERE k = 'from'), til AS (SELECT img, pl, row_number() OVER (PARTITION BY img ORDER BY pl) AS n FROM ends WHERE k = 'to'),
+pc AS (SELECT fr.img, fr.pl AS lo, til.pl - fr.pl AS size FROM fr JOIN til ON fr.img = til.img AND fr.n = til.n WHERE til.pl - fr.pl >= 2)
+SELECT img, lo::INT AS lo, size::INT AS size FROM pc UNION ALL SELECT DISTINCT img, 0, 8 FROM px WHERE img NOT IN (SELECT img FROM pc)"""
+)
+def ras_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a grid: what lies between its empty rows."""
+    px = pixels(spark, d)
+    return B.pieces(R.gaps(R.projection(px, "y", F.col("v") > 140), "y", 3, 1), px.select("img").distinct().withColumn("size", F.lit(8)), 2)
+
+
+@query(f"{_PX} SELECT img, y, x, CAST(floor(v * (x * 36) / 255.0::DOUBLE + 255 * (1 - (x * 36) / 255.0::DOUBLE) + 0.5) AS INT) AS v FROM px")
+def ras_on_white(spark: SparkSession, d: str) -> DataFrame:
+    """Grids as drawings that fade in from left to right, laid on white."""
+    return pixels(spark, d).withColumn("v", M.on_white(F.col("v"), F.col("x") * 36))
+
+
+@query(f"{_PX} SELECT img, box_id, w, h, list(v ORDER BY y, x) AS px FROM px JOIN (SELECT unnest([1, 2]) AS box_id, unnest([1, 4]) AS bx, unnest([1, 3]) AS bt, unnest([4, 4]) AS w, unnest([3, 5]) AS h) b ON x BETWEEN bx AND bx + w - 1 AND y BETWEEN bt AND bt + h - 1 GROUP BY img, box_id, w, h")
+def ras_crops(spark: SparkSession, d: str) -> DataFrame:
+    flat = pixels(spark, d).groupBy("img").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda s: s["v"]).alias("px")).withColumns({"w": F.lit(8), "h": F.lit(8)})
+    box = lambda k, x, y, w, h: F.struct(*(F.lit(v).alias(n) for n, v in zip(("box_id", "x", "y", "w", "h"), (k, x, y, w, h))))
+    return B.crops(flat, flat.select("img", F.inline(F.array(box(1, 1, 1, 4, 3), box(2, 4, 3, 4, 5)))))
+
+
+@query(f"{_PX} SELECT img, x - 1 AS x, y - 2 AS y, CASE WHEN x + 0.5 < 6 AND x - 1 + 0.5 > y - 2 + 0.5 THEN v ELSE 255 END AS v FROM px WHERE x >= 1 AND x < 6 AND y >= 2 AND y < 7 AND x - 1 <> y - 2")
+def ras_clipped(spark: SparkSession, d: str) -> DataFrame:
+    """A triangle cut out of every grid (without the pixels on its slope, whose middle lies on it)."""
+    px = pixels(spark, d)
+    corner = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
+    return G.clipped(px, px.select("img").distinct().withColumn("points", F.array(corner(1, 2), corner(6, 2), corner(6, 7)))).where("x <> y")
+
+
+@query()
+def mdl_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """Shape and sum of each grid as the input of every model, the model passing it on."""
+    flat = pixels(spark, d).groupBy("img").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda s: s["v"] * 65793).alias("px")).withColumns({"w": F.lit(8), "h": F.lit(8)})
+    kinds = {"detector": lambda a: M.letterboxed(a, 32), "text": lambda a: M.text_input(a, 16, 8), "line": lambda a: M.line_input(a, 12, 20), "formula": lambda a: M.stretched(a, 12), "angle": lambda a: M.oriented_input(a, 16, 12), "patch": lambda a: M.patch_input(a, 16)}
+    parts = [M.inferred(flat, prepare, lambda: lambda x: x).select("img", F.lit(kind).alias("kind"), "shape", F.round(F.aggregate("data", F.lit(0.0), lambda s, v: s + v.cast("double")), 3).alias("total")) for kind, prepare in kinds.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @query()
 def ras_clahe(spark: SparkSession, d: str) -> DataFrame:
     return R.clahe(pixels(spark, d))

@@ -246,6 +246,46 @@ def src_exif(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "text_result").select("img", I.exif_orientation(raw).alias("orientation"))
 
 
+_NAMED = "CASE id % 4 WHEN 0 THEN 'a.txt' WHEN 1 THEN 'b.PNG' WHEN 2 THEN 'c.jpg' ELSE 'd.pdf' END"
+
+
+@query(f"SELECT day, id, name FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY id) AS n FROM (SELECT CAST(created_at AS DATE) AS day, id, {_NAMED} AS name FROM history) WHERE name IN ('b.PNG', 'c.jpg')) WHERE n = 1")
+def src_first_image(spark: SparkSession, d: str) -> DataFrame:
+    """Records of a day as the items of one paste: the first picture among them."""
+    items = _history(spark, d).select(F.to_date("created_at").alias("day"), "id", F.expr(_NAMED).alias("name"))
+    return I.first_image(items.withColumn("mime", I.mime(F.col("name"))), "day", "id").select("day", "id", "name")
+
+
+@query(f"SELECT id, {_NAMED} AS name, CASE id % 4 WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/jpeg' ELSE 'application/pdf' END AS mime FROM history WHERE id % 4 <> 0")
+def src_accepted(spark: SparkSession, d: str) -> DataFrame:
+    items = _history(spark, d).select("id", F.expr(_NAMED).alias("name"))
+    return I.accepted(items.withColumn("mime", I.mime(F.col("name"))))
+
+
+@query("SELECT id, CASE source WHEN 'pdf' THEN 'http://a/v1' WHEN 'camera' THEN 'http://b' ELSE 'http://own' END AS base_url, CASE source WHEN 'pdf' THEN 'm1' WHEN 'camera' THEN 'm2' ELSE 'own' END AS model FROM history")
+def src_preset(spark: SparkSession, d: str) -> DataFrame:
+    presets = {"pdf": ("http://a/v1", "m1"), "camera": ("http://b", "m2")}
+    return _history(spark, d).select("id", F.inline(F.array(I.preset(F.col("source"), presets, F.lit("http://own"), F.lit("own")))))
+
+
+@query("SELECT coalesce(source, 'none') AS key, count(*)::VARCHAR AS val FROM history GROUP BY ALL")
+def snk_settings(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of sources saved as settings, twice, and loaded again."""
+    values = _history(spark, d).groupBy(F.coalesce("source", F.lit("none")).alias("key")).agg(F.count("*").cast("string").alias("val"))
+    path = f"{shared_dir(spark)}/settings-{uuid.uuid4().hex}"
+    I.save_settings(values.withColumn("val", F.lit("old")), path)
+    I.save_settings(values, path)
+    return I.load_settings(spark, path)
+
+
+@query("SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text || chr(10), chr(10))) AS line FROM text_result WHERE text IS NOT NULL) GROUP BY line")
+def snk_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of all texts, saved as files and read again."""
+    path = f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
+    I.save_texts(table(spark, d, "text_result"), path)
+    return spark.read.option("lineSep", "\n").text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
 _UNDONE = """WITH o AS (SELECT user_id AS canvas, list(CASE WHEN event_id % 4 = 0 THEN 2 WHEN event_id % 7 = 0 THEN 3 ELSE 1 END ORDER BY event_id) AS ops FROM events WHERE user_id IS NOT NULL GROUP BY user_id),
 s AS (SELECT canvas, list_reduce(list_transform(ops, lambda o: {'o': o, 'u': 0, 'r': 0}), lambda s, x: CASE WHEN x.o = 1 THEN {'o': 0, 'u': least(s.u + 1, 60), 'r': 0} WHEN x.o = 2 AND s.u > 0 THEN {'o': 0, 'u': s.u - 1, 'r': s.r + 1}
 WHEN x.o = 3 AND s.r > 0 THEN {'o': 0, 'u': least(s.u + 1, 60), 'r': s.r - 1} ELSE s END, {'o': 0, 'u': 0, 'r': 0}) AS s FROM o) SELECT canvas, CAST(s.u AS INT) AS undo, CAST(s.r AS INT) AS redo FROM s"""

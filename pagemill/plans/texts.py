@@ -94,13 +94,30 @@ def str_json(spark: SparkSession, d: str) -> DataFrame:
     return _history(spark, d).where("latex is not null").select("id", F.concat(F.lit('"'), T.escape_json(F.col("latex")), F.lit('"')).alias("json"))
 
 
-@query("SELECT id, latex FROM history")
+@query("SELECT id, coalesce(latex, '') AS latex FROM history")
 def str_json_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Values as result JSON and back."""
-    rows = table(spark, d, "history").select("id", "latex", "confidence").withColumn("json", T.result_json("formula"))
+    rows = table(spark, d, "history").select("id", "latex", "confidence", F.lit(None).cast("int").alias("time_ms")).withColumn("json", T.result_json("formula"))
     return rows.select("id", T.parse_result(F.col("json"))["latex"].alias("latex"))
 
 
+@query("SELECT img, to_json({done: true, text: coalesce(text, ''), confidence: coalesce(round(confidence::DOUBLE, 2), 0.0::DOUBLE), timeMs: coalesce(time_ms, 0)})::VARCHAR AS json FROM text_result")
+def str_text_json(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "text_result").withColumn("confidence", F.round(F.col("confidence").cast("double"), 2))
+    return rows.select("img", T.result_json("text").alias("json"))
+
+
+@query(
+    """SELECT m.img, to_json({done: true, regions: list({x: r.x, y: r.y, w: r.w, h: r.h, type: r.type, text: coalesce(r.text, ''), confidence: coalesce(round(r.confidence::DOUBLE, 2), 0.0::DOUBLE)} ORDER BY r.y, r.x, r.region_id),
+timeMs: coalesce(any_value(m.time_ms), 0), formattedText: coalesce(any_value(m.formatted_text), '')})::VARCHAR AS json FROM mixed_result m JOIN (SELECT DISTINCT * FROM regions) r ON r.img = m.img GROUP BY m.img"""
+)
+def str_mixed_json(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "regions").distinct()
+    one = F.struct("y", "x", "region_id", F.struct("x", "y", "w", "h", "type", "text", F.round(F.col("confidence").cast("double"), 2).alias("confidence")).alias("r"))
+    regions = r.groupBy("img").agg(F.transform(F.array_sort(F.collect_list(one)), lambda s: s["r"]).alias("regions"))
+    return table(spark, d, "mixed_result").join(regions, "img").select("img", T.result_json("mixed").alias("json"))
+
+
 _PLAIN = "'```latex' || chr(10) || latex || chr(10) || '```'"
 _LOUD = "'```TeX' || chr(10) || latex || '```'"
 

@@ -120,3 +120,22 @@ def release(feed: Column) -> Column:
     """struct(version, url, body) of a release feed entry; a leading v of the version is dropped."""
     r = F.from_json(feed, "tag_name string, html_url string, body string")
     return F.struct(F.regexp_replace(r["tag_name"], "^v", "").alias("version"), r["html_url"].alias("url"), r["body"].alias("body"))
+
+
+# Sinks.
+
+
+def save_settings(values: DataFrame, path: str) -> None:
+    """The one row of settings (key, val) as JSON, in place of what was there; null values are kept as empty."""
+    one = values.where("key is not null").groupBy("key").agg(F.min(F.coalesce("val", F.lit(""))).alias("val")).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "val"))))).alias("value"))
+    one.coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_settings(spark: SparkSession, path: str) -> DataFrame:
+    """(key, val) of saved settings."""
+    return spark.read.text(path).select(F.explode(settings(F.col("value"), F.lit(None).cast("string"))).alias("key", "val"))
+
+
+def save_texts(texts: DataFrame, path: str, column: str = "text") -> None:
+    """Texts as files, a record after the other with an empty line between; nulls are left out."""
+    texts.where(F.col(column).isNotNull()).select(F.concat(F.col(column), F.lit("\n")).alias("value")).write.mode("overwrite").text(path)

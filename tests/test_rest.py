@@ -14,6 +14,7 @@ from pagemill.functions import geometry as G
 from pagemill.functions import text as T
 from pagemill.operators import decode as D
 from pagemill.operators import history as H
+from pagemill.operators import models as M
 from pagemill.operators import rasters as R
 from pagemill.plans import texts
 from pagemill.sources import inputs as I
@@ -63,6 +64,46 @@ def test_contours_by_hand(spark):
     assert got[2:] == [(3, 0, [(0, 0), (1, 0)] * 3)]
 
 
+def test_inputs_of_models():
+    flat = np.full((4, 8, 3), 50.0)
+    box = M.letterboxed(flat, 16)
+    assert box.shape == (16, 16, 3) and np.allclose(box[4:12], 50 / 255) and np.allclose(box[:4], 114 / 255) and np.allclose(box[12:], 114 / 255)
+    text = M.text_input(np.dstack([np.full((5, 9), v) for v in (0, 128, 255)]), 960, 32)
+    assert text.shape == (32, 32, 3) and np.allclose(text[0, 0], [1, (128 / 255 - 0.5) / 0.5, -1]) and np.allclose(text[5:], 1) and np.allclose(text[:, 9:], 1)
+    line = M.line_input(flat, 8, 40)
+    assert line.shape == (8, 40, 3) and np.allclose(line[:, 16:], -1) and np.allclose(line[:, :16], (50 / 255 - 0.5) / 0.5)
+    assert M.line_input(np.zeros((4, 400, 3)), 8, 40).shape == (8, 40, 3) and np.allclose(M.stretched(flat, 6), 50 * 2 / 255 - 1)
+    whole, fitted = M.oriented_input(flat, 8, 6), M.patch_input(flat, 8)
+    want = (50 / 255 - np.array(R.IMAGENET_MEAN)) / R.IMAGENET_STD
+    assert np.allclose(whole, want) and np.allclose(fitted[2:6], want) and np.allclose(fitted[:2], (1 - np.array(R.IMAGENET_MEAN)) / R.IMAGENET_STD)
+    # Taller than the crop is wide: white at both sides.
+    assert np.allclose(M.oriented_input(np.zeros((8, 8, 3)), 4, 6)[0], (1 - np.array(R.IMAGENET_MEAN)) / R.IMAGENET_STD)
+    assert np.allclose(M.composed(flat, np.zeros((4, 8))), 255) and np.allclose(M.composed(flat, np.full((4, 8), 255)), 50)
+
+
+def test_models_are_put_in(spark):
+    rows = [(k, 4, 4, [k * 65793] * 16) for k in range(40)] + [(90, 4, 4, None), (91, 2, 2, [1])]
+    images = spark.createDataFrame(rows, "img bigint, w int, h int, px array<int>")
+    sizes = M.inferred(images, M.patch_input, lambda: lambda x: np.full((len(x), 1), len(x)), batch=8)
+    got = {r["img"]: r for r in sizes.collect()}
+    assert len(got) == 42 and got[90]["error"] == got[91]["error"] == "no pixels" and got[90]["data"] is None
+    assert max(r["data"][0] for r in got.values() if r["data"]) <= 8 and got[3]["shape"] == [3, 64, 64]
+
+    def broken(x):
+        raise ValueError("no")
+
+    assert {r["error"] for r in M.inferred(images, M.patch_input, lambda: broken).where("img < 40").collect()} == {"no"}
+    assert {r["p"] for r in M.region_classifier(images, lambda: broken).collect()} == {0.5}
+    assert {r["p"] for r in M.region_classifier(images, lambda: lambda x: np.zeros((len(x), 2))).collect()} == {0.5}
+    turned = M.orientation(images, lambda: lambda x: np.tile([0, 0, 5, 0], (len(x), 1))).collect()
+    assert {r["angle"] for r in turned} == {180} and len(turned) == 40
+    steps = M.recogniser(images.where("img = 1"), lambda: lambda x: np.tile([0, 1, 0, 0, 0, 3], (len(x), 1)), 3).orderBy("t").collect()
+    assert [(r["t"], r["id"], r["v"]) for r in steps] == [(0, 1, 1.0), (1, 2, 3.0)]
+    assert M.formula_detector(images, lambda: lambda x: x.reshape(len(x), -1)[:, :12], 8).count() == 40
+    assert M.encoder(images, lambda: lambda x: x[:, 0, 0, :5], 8).first()["state"] is not None
+    assert M.text_detector(images, lambda: lambda x: x[:, 0]).select("w", "h").distinct().collect() == [(32, 32)]
+
+
 def test_resampling_keeps_flat_images():
     assert np.allclose(R.resampled(np.full((5, 7, 3), 9), 4, 6), 9)
 
@@ -214,7 +255,7 @@ def test_guard_covers_whole_values(spark, tmp_path):
     unit = lambda n: "".join(rng.choice("ab{}") for _ in range(n))
     rows = [(k, unit(k % 45) * (k % 5) + unit(k % 7)) for k in range(400)] + [(3000, None), (3001, "x" * 70), (3002, "abc" * 6 + "ab"), (3003, "\\frac{a}{b}+\\sqrt{c}-dd" * 4)]
     spark.createDataFrame(rows, "id bigint, latex string").write.parquet(str(tmp_path / "history.parquet"))
-    got = dict(texts.str_guarded_whole(spark, str(tmp_path)).collect())
+    got = dict(texts.str_guarded(spark, str(tmp_path)).collect())
     assert got == {k: brute(t) for k, t in rows if t is not None}
     assert got[3003] == "" and max(map(len, got.values())) > 60
 

@@ -94,5 +94,29 @@ SELECT {id}, w, unnest(range(1, len(w) - 11)) AS k FROM (SELECT {id}, regexp_ext
 _P6 = f"SELECT DISTINCT d.id AS doc_id, e.id AS item_id FROM ({_WINDOWS.format(id='doc_id', table='documents')}) d JOIN ({_WINDOWS.format(id='item_id', table='eval_items')}) e ON d.gram = e.gram"
 
 
+# The canonical form of copies in SQL. Patterns here cannot look around, so what they look at is put back and they run twice;
+# single marks between digits are kept by a sign put before them.
+_SPACES = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_MARK = "[.,;:?!，。；：？！、]"
+_ITEM = "[^()=,;]+=[^()=,;]+"
+
+
+def _times(call: str, inner: str) -> str:
+    return call.replace("@", call.replace("@", inner))
+
+
+_BARE = _times(r"regexp_replace(@, '(\\\\)|\\[,;:! ]|\\q?quad([^A-Za-z]|$)|\\[\[\]]|[~$" + _SPACES + r"]', '\1\2', 'g')", "latex")
+_KEPT = _times(rf"regexp_replace(@, '([0-9])({_MARK})([0-9])', '\1' || chr(1) || '\2\3', 'g')", "sorted")
+_P3 = rf"""WITH bare AS (SELECT DISTINCT id, lower({_BARE}) AS t FROM history WHERE id IS NOT NULL AND latex IS NOT NULL),
+tail AS (SELECT id, t, regexp_extract(t, '\(({_ITEM}(?:[,;]{_ITEM})*)\){_MARK}*$', 1) AS items FROM bare),
+listed AS (SELECT id, CASE WHEN items = '' THEN t ELSE regexp_replace(t, '\({_ITEM}(?:[,;]{_ITEM})*\){_MARK}*$', '') || '(' || array_to_string(list_sort(string_split_regex(items, '[,;]')), ',') || ')' END AS sorted FROM tail),
+form AS (SELECT DISTINCT id, replace(regexp_replace({_KEPT}, '(' || chr(1) || '{_MARK})|{_MARK}', '\1', 'g'), chr(1), '') AS f FROM listed),
+sets AS (SELECT f, min(id) AS keep_id, count(*) AS copies FROM form GROUP BY f)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p6_found": _P6}
+    return {
+        "p3_found": f"{_P3} SELECT keep_id, id AS dup_id FROM form JOIN sets USING (f) WHERE id <> keep_id",
+        "p3_copies": f"{_P3} SELECT keep_id, copies FROM sets",
+        "p6_found": _P6,
+    }

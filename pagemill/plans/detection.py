@@ -9,6 +9,7 @@ from pagemill.functions import geometry as G
 from pagemill.operators import boxes as B
 from pagemill.operators import rasters as R
 from pagemill.plans.fixtures import ctes, view
+from pagemill.plans.fixtures import sql as box_sql
 from pagemill.session import table
 
 QUERIES: dict = {}
@@ -166,7 +167,18 @@ def det_merged_rows(spark: SparkSession, d: str) -> DataFrame:
     return B.merge_rows(view(spark, d, "boxes"))
 
 
-@query()
+_TOUCH = "bs[p // 1000].x < bs[p % 1000].x + bs[p % 1000].w AND bs[p % 1000].x < bs[p // 1000].x + bs[p // 1000].w AND bs[p // 1000].y < bs[p % 1000].y + bs[p % 1000].h AND bs[p % 1000].y < bs[p // 1000].y + bs[p // 1000].h"
+# Round after round the first two boxes that overlap (numbered i * 1000 + j) become one.
+_A, _B = "bs[pr // 1000]", "bs[pr % 1000]"
+_ONE = f"{{'x': least({_A}.x, {_B}.x), 'y': least({_A}.y, {_B}.y), 'w': greatest({_A}.x + {_A}.w, {_B}.x + {_B}.w) - least({_A}.x, {_B}.x), 'h': greatest({_A}.y + {_A}.h, {_B}.y + {_B}.h) - least({_A}.y, {_B}.y), 'conf': greatest({_A}.conf, {_B}.conf), 'box_id': {_A}.box_id}}"
+_NEXT = f"list_filter(flatten(list_transform(range(1, len(bs)), lambda i: list_transform(range(i + 1, len(bs) + 1), lambda j: i * 1000 + j))), lambda p: {_TOUCH})[1] AS pr"
+
+
+@query(
+    f"""WITH RECURSIVE boxes AS {box_sql("boxes")}, l AS (SELECT img, list({{'x': x, 'y': y, 'w': w, 'h': h, 'conf': conf, 'box_id': box_id}} ORDER BY y, x, box_id) AS bs FROM boxes GROUP BY img),
+r AS (SELECT img, bs, {_NEXT} FROM l UNION ALL SELECT img, bs, {_NEXT} FROM (SELECT img, list_concat(bs[:pr // 1000 - 1], [{_ONE}], bs[pr // 1000 + 1:pr % 1000 - 1], bs[pr % 1000 + 1:]) AS bs FROM r WHERE pr IS NOT NULL))
+SELECT img, b.x AS x, b.y AS y, b.w AS w, b.h AS h, b.conf AS conf, b.box_id AS box_id FROM (SELECT img, unnest(bs) AS b FROM r WHERE pr IS NULL)"""
+)
 def det_merged_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return B.merge_overlapping(view(spark, d, "boxes"))
 

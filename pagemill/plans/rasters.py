@@ -315,9 +315,17 @@ def ras_smoothed(spark: SparkSession, d: str) -> DataFrame:
     return R.smooth_strokes(p)
 
 
-@query()
+# A place of the larger grid lies between two rows and two columns of the smaller one; the three colours are the same here.
+_BETWEEN = "SELECT k, greatest(least((k + 0.5::DOUBLE) / 2 - 0.5, 7), 0) AS pos FROM (SELECT unnest(range(16)) AS k)"
+
+
+@query(
+    f"""{_PX}, pl AS (SELECT k, pos, floor(pos)::INT AS a, least(floor(pos)::INT + 1, 7) AS b, pos - floor(pos) AS f FROM ({_BETWEEN})), wt AS (SELECT a AS p, sum(1 - f) AS s FROM pl GROUP BY a UNION ALL SELECT b, sum(f) FROM pl GROUP BY b), ws AS (SELECT p, sum(s) AS s FROM wt GROUP BY p)
+SELECT img, 768 AS n, round(sum(v / 255.0::DOUBLE * r.s * c.s) * (1 / 0.229::DOUBLE + 1 / 0.224::DOUBLE + 1 / 0.225::DOUBLE) - 256 * (0.485::DOUBLE / 0.229::DOUBLE + 0.456::DOUBLE / 0.224::DOUBLE + 0.406::DOUBLE / 0.225::DOUBLE), 1) AS total
+FROM px JOIN ws r ON r.p = y JOIN ws c ON c.p = x GROUP BY img"""
+)
 def ras_tensor(spark: SparkSession, d: str) -> DataFrame:
     """Sum of the normalised 16 by 16 tensor of every grid."""
     px = pixels(spark, d).groupBy("img").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda s: s["v"] * 65793).alias("px"))
     t = R.tensors(px.select("img", F.lit(8).alias("w"), F.lit(8).alias("h"), "px"), 16, R.IMAGENET_MEAN, R.IMAGENET_STD)
-    return t.select("img", F.size("data").alias("n"), F.round(F.aggregate("data", F.lit(0.0), lambda s, v: s + v.cast("double")), 3).alias("total"))
+    return t.select("img", F.size("data").alias("n"), F.round(F.aggregate("data", F.lit(0.0), lambda s, v: s + v.cast("double")), 1).alias("total"))

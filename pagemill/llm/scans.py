@@ -80,16 +80,18 @@ _BAR = re.compile(r"(?<=[^\W\d_])\|(?=[^\W\d_])")
 _TOKEN = re.compile(r"[^\W_]+")
 
 
+_ROMANS = frozenset("ivxlcdmIVXLCDM")
+
+
 def skeleton(text: str) -> str:
     """What stays of a line that only differs in page number, case, spacing and misreadings: equal lines get equal skeletons.
 
     A token of digits (or a roman number at an end) is taken for the page number.
     """
     tokens = [t for t in _TOKEN.findall(_BAR.sub("l", text) if "|" in text else text) if not t.isdigit()]
-    if len(tokens) > 1:
-        for end in (0, -1):
-            if len(tokens) > 1 and tokens[end][0] in "ivxlcdmIVXLCDM" and tokens[end] != "I" and roman(tokens[end]):
-                tokens.pop(end)
+    for end in (0, -1):
+        if len(tokens) > 1 and tokens[end][0] in _ROMANS and tokens[end][-1] in _ROMANS and tokens[end] != "I" and roman(tokens[end]):
+            tokens.pop(end)
     return "".join(tokens).lower().translate(_STROKE_TABLE)
 
 
@@ -97,8 +99,12 @@ def skeleton(text: str) -> str:
 
 
 def _half(text: Column) -> Column:
-    """The half of a word that a line leaves at its end, else null; a look at its last character spares most lines the pattern."""
-    return F.when(F.substring(F.rtrim(text), -1, 1).isin(*_HYPHENS), F.nullif(F.regexp_extract(text, _SPLIT, 1), F.lit("")))
+    """The half of a word that a line leaves at its end, else null; a look at its last sign spares most lines the pattern."""
+    bare = F.rtrim(text)
+    ends = bare.endswith(_HYPHENS[0])
+    for mark in _HYPHENS[1:]:
+        ends = ends | bare.endswith(mark)
+    return F.when(ends, F.nullif(F.regexp_extract(text, _SPLIT, 1), F.lit("")))
 
 
 def _hyphens_at_ends(text: Column) -> Column:
@@ -206,10 +212,10 @@ def header_keys(named: DataFrame, pages: DataFrame) -> DataFrame:
     seeds = counted.where("n >= 2 and n * 12 >= pages").select("doc", F.col("key").alias("seed"))
     far = F.floor(F.length("seed") / PER_DIFFERENCE).cast("int")
     near = F.abs(F.length("seed") - F.length("key")) <= far
-    pairs = counted.select("doc", "key").join(small(seeds), "doc").where(near & (F.levenshtein("seed", "key") <= far))
+    pairs = counted.select("doc", "key").join(seeds, "doc").where(near & (F.levenshtein("seed", "key") <= far))
     wide = pairs.where("seed <> key").select("doc", "seed").distinct()
     # Where a seed has near keys, its pages are counted with theirs.
-    joint = named.join(small(pairs.join(wide, ["doc", "seed"])), ["doc", "key"]).groupBy("doc", "seed").agg(F.countDistinct("page").alias("n")).join(pages, "doc").where(enough("n")).select("doc", "seed")
+    joint = named.join(pairs.join(wide, ["doc", "seed"]), ["doc", "key"]).groupBy("doc", "seed").agg(F.countDistinct("page").alias("n")).join(pages, "doc").where(enough("n")).select("doc", "seed")
     return counted.where(enough("n")).select("doc", "key").unionByName(pairs.join(joint, ["doc", "seed"], "left_semi").select("doc", "key")).distinct()
 
 
@@ -228,7 +234,7 @@ def furniture(edges: DataFrame, pages: DataFrame) -> DataFrame:
     outer = marked.withColumn("outer", within("top") | within("bottom")).where("outer and number is not null").withColumn("step", F.col("number") - F.col("page"))
     steps = outer.where("doc is not null").groupBy("doc", "step").agg(F.countDistinct("page").alias("n"))
     known = outer.where("doc is not null").groupBy("doc").agg(F.countDistinct("page").alias("numbered"))
-    numbers = outer.join(small(steps), ["doc", "step"], "left").join(small(known), "doc", "left").where("doc is null or sure or n >= 2 or numbered < 2")
+    numbers = outer.join(steps, ["doc", "step"], "left").join(known, "doc", "left").where("doc is null or sure or n >= 2 or numbered < 2")
     return numbers.select("tbl", "rec", "top", F.lit("pageno").alias("noise")).unionByName(marked.where("header").select("tbl", "rec", "top", F.lit("header").alias("noise"))).distinct()
 
 
@@ -302,12 +308,6 @@ def split_words(pairs: DataFrame, vocabulary: DataFrame) -> DataFrame:
 _SIGNS = "".join(chr(k) for k in range(1, 127) if not chr(k).isalnum() and k != 32)
 
 
-def _all_words(text: Column) -> Column:
-    """The words of a text, for a plain one with empty ones between: cutting at blanks is far cheaper than a pattern."""
-    plain = F.split(F.translate(text, _SIGNS, " " * len(_SIGNS)), " ")
-    return F.when(F.octet_length(text) == F.char_length(text), plain).otherwise(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)))
-
-
 class ScanNoise:
     """The parts of an analysis that reports and repairs share; each is written once."""
 
@@ -317,6 +317,7 @@ class ScanNoise:
         lines, edges = [], []
         if mixed is not None:
             paged = mixed.where("img is not null and doc is not null and page is not null").groupBy(F.col("img").cast("bigint").alias("img")).agg(F.min(F.struct(F.col("doc").cast("bigint").alias("doc"), F.col("page").cast("bigint").alias("page"))).alias("p")).select("img", "p.*")
+            paged = written(paged, "scan-pages")
         if regions is not None:
             rows = written(_region_lines(regions), "scan-regions")
             several = small(rows.where("block <> 0").select("img").distinct())
@@ -330,7 +331,7 @@ class ScanNoise:
         union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         self.lines = written(self._words(union(lines)), "scan-lines")
         pages = paged.groupBy("doc").agg(F.countDistinct("page").alias("pages")) if paged is not None else self.lines.sparkSession.createDataFrame([], "doc bigint, pages bigint")
-        self.furniture = written(furniture(union(edges), small(pages)), "scan-furniture")
+        self.furniture = written(furniture(union(edges), pages), "scan-furniture")
         singles = self.lines.select(F.explode("words").alias("a")).where("a <> ''").groupBy("a").count()
         compounds = self.lines.select(F.explode("compounds").alias("a")).groupBy("a").count()
         halves = singles.select(F.lower("a").alias("word"), "a", "count").unionByName(compounds.select(F.lower("a").alias("word"), F.lit(None).cast("string").alias("a"), "count"))
@@ -344,12 +345,16 @@ class ScanNoise:
         """(tbl, rec, line, a, a_rec, b, words, compounds): lines with their whole words and compounds, and the halves of a word
         split at the end of the line before (a, in record a_rec) and going on here (b). Halves are no words of their own.
         """
-        text = F.col("text")
-        lines = lines.withColumn("b", F.when(F.col("a").rlike(r"\p{L}$"), F.nullif(F.regexp_extract(text, _HEAD, 1), F.lit(""))))
-        lines = lines.withColumn("inner", F.when(F.col("b").isNotNull(), F.regexp_replace(text, _HEAD, "")).otherwise(text))
-        lines = lines.withColumn("inner", F.when(_half(text).isNotNull(), F.regexp_replace("inner", _SPLIT, "")).otherwise(F.col("inner")))
+        text, half = F.col("text"), F.col("half")
+        lines = lines.withColumns({"half": _half(text), "b": F.when(F.col("a").rlike(r"\p{L}$"), F.nullif(F.regexp_extract(text, _HEAD, 1), F.lit("")))})
+        whole = F.when(F.col("b").isNotNull(), F.regexp_replace(text, _HEAD, "")).otherwise(text)
+        whole = F.when(half.isNotNull(), F.regexp_replace(whole, _SPLIT, "")).otherwise(whole)
+        found = lambda t: F.regexp_extract_all(t, F.lit(_WORD), F.lit(0))
+        # Cutting at blanks, with empty words between, is far cheaper than a pattern; most lines are plain and whole.
+        plain = F.split(F.translate(text, _SIGNS, " " * len(_SIGNS)), " ")
+        words = F.when(half.isNotNull() | F.col("b").isNotNull(), found(whole)).when(F.octet_length(text) == F.char_length(text), plain).otherwise(found(text))
         compounds = F.when(F.instr(text, "-") > 0, F.regexp_extract_all(text, F.lit(r"\p{L}+-\p{L}+"), F.lit(0)))
-        return lines.select("tbl", "rec", "line", "a", "a_rec", "b", _all_words(F.col("inner")).alias("words"), compounds.alias("compounds"))
+        return lines.select("tbl", "rec", "line", "a", "a_rec", "b", words.alias("words"), compounds.alias("compounds"))
 
     def word_noise(self) -> DataFrame:
         """(tbl, rec, noise) of split and misread words."""

@@ -439,3 +439,46 @@ def test_garbled_short_runs(spark):
     want = {1000: "Long: " + zh + " It’s known that a ≤ π.", 1001: "It’s known that a ≤ π. We saw “rigid” forms.", 1002: "Also a ≤ π. It’s so."}
     got = garbled.garbled(spark.createDataFrame(clean + [(k, gbk(t), "en") for k, t in want.items()], "doc_id bigint, text string, lang string")).collect()
     assert {r["doc_id"]: r["restored"] for r in got} == want
+
+
+# Clashing columns, nulls, empty tables.
+
+
+def widened(df, *names):
+    for n in names:
+        if n not in df.columns:
+            df = df.withColumn(n, F.lit("clash"))
+    return df
+
+
+def test_clashing_columns_and_nulls(spark):
+    rng = random.Random(41)
+    long = "x=1 " * 20_000
+    H = spark.createDataFrame([(1, "a", None), (2, "A ", "pdf"), (None, "a", "pdf"), (3, None, None), (4, "", "pdf"), (5, long, None), (5, long, None)], "id bigint, latex string, source string")
+    H = widened(H, "key", "digest", "n", "keep", "bucket", "text", "salt", "len", "src", "tbl", "distance", "score", "cut", "s", "l")
+    sets, members = copies.formatting_copies(H)
+    assert sorted(map(tuple, members.collect())) == [(1, 2)] and sets.count() == 3
+    P = widened(spark.createDataFrame([(1, 1, "a"), (1, 1, "a"), (None, 2, "b"), (2, 1, None)], "doc bigint, page int, latex string"), "len", "src", "text", "key1")
+    records = cuts.scored(cuts.history_and_pages(H, P))
+    assert records.count() == 7 and cuts.cut_shares(records).agg(F.sum("records")).first()[0] == 7
+    assert cuts.scored(cuts.history_and_pages(H.where("false"), P.where("false"))).count() == 0
+    assert lookalikes.odd_records({"h": (widened(H, "rec_id", "kinds"), "id", "latex")}).count() == 0
+    normal = lookalikes.normalised(widened(H, "normal"), "latex")
+    assert normal.columns == widened(H, "normal").columns and normal.where("normal = 'a'").count() == 2
+    D = spark.createDataFrame([(k, sentence(rng), ["a", "b", None][k % 3], None) for k in range(60)] + [(None, "x", "a", "en"), (90, None, "a", "en"), (91, "", "b", "en"), (92, "é" * 50_000, "b", None)], "doc_id bigint, text string, source string, lang string")
+    D = widened(D, "doc", "item_id", "tokens", "bytes", "key", "r", "left", "lo", "hi", "full", "more", "copies", "steps", "lossy", "restored", "n")
+    T = widened(spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1), (None, 0.2, 1), ("c", None, None)], "source string, target_share double, max_repeat int"), "t", "one", "key")
+    chosen, shares = mixing.mix(D, T)
+    assert chosen.count() > 10 and shares.count() == 3 and mixing.mix(D, T.where("false"))[0].count() == 0
+    E = widened(spark.createDataFrame([(1, " ".join(WORDS)), (None, "x"), (2, None), (3, "")], "item_id bigint, text string"), "doc", "doc_id")
+    assert leaks.leaks(D, E).count() == 0 and leaks.without_leaks(D, E).columns == D.columns
+    assert garbled.garbled(D, dictionaries={}).columns == ["doc_id", "steps", "lossy", "restored"]
+
+
+def test_scans_with_clashing_columns(spark):
+    R = spark.createDataFrame([(1, 1, None, None, None, "the light of a mod-", None), (2, 1, 5, 30, "text", "ern window", 0.5), (2, 1, 5, 30, "text", "ern window", 0.5), (None, 1, 0, 0, "text", "x", None), (3, None, 0, 0, "text", "y", None), (4, 1, 0, 60, "formula", "x=1", None), (5, 1, 0, 90, "text", "modern", None)], "region_id bigint, img bigint, x int, y int, type string, text string, confidence double")
+    M = spark.createDataFrame([(1, None, None, None), (None, 1, 1, "x"), (2, 1, 1, "$$\nopen"), (3, 1, None, "")], "img bigint, doc bigint, page int, formatted_text string")
+    T = spark.createDataFrame([(7, "a\n\nb"), (None, "x"), (8, "x" * 100_000)], "img bigint, text string")
+    noise = scans.ScanNoise(widened(R, "rec", "line", "a", "b", "block", "top", "new", "doc", "page"), widened(M, "p", "pages", "text", "rec", "lines"), widened(T, "doc", "page", "rec", "tbl", "lines"))
+    assert sorted(map(tuple, noise.found().collect())) == [("regions", 1, "hyphen")]
+    assert {(a, b): c for a, b, c in noise.repaired().collect()}["regions", 1] == "the light of a modern"

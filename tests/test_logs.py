@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from pagemill.operators import log_entries as L
 
 LINES = [
@@ -89,3 +91,12 @@ def test_headers_longer_than_a_signature(spark):
     df = spark.createDataFrame([(1, k, t) for k, t in enumerate(lines)], "session_id bigint, line_no bigint, line string")
     got = sorted((r["line_no"], r["last_line"], r["level"], r["component"]) for r in L.log_entries(df).collect())
     assert got == [(0, 0, "INFO", "Tag"), (1, 3, "WARN", tag), (4, 4, "ERROR", "Last")]
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, 1, "10:00 banner"), (1, 2, "[24:00:07.431][INFO][settings] read"), (None, 1, "[10:00:07.431][WARN][x] y"), (2, None, "[10:00:07.431][WARN][x] y"), (1, 3, None)], "session_id bigint, line_no bigint, line string")
+    for c in ("sig", "rule", "whole", "late", "raw", "level", "component", "message", "block", "head", "start", "undecided"):
+        df = df.withColumn(c, F.lit("clash"))
+    got = L.log_entries(df).collect()
+    assert sorted((r["session_id"] or 0, r["line_no"], r["last_line"], r["component"], r["message"]) for r in got) == [(0, 1, 1, "x", "y"), (1, 2, 3, "settings", "read\n")]
+    assert L.log_entries(df.where("false")).count() == 0

@@ -133,27 +133,29 @@ def otsu(pixels: DataFrame) -> DataFrame:
 
 
 def clahe_maps(pixels: DataFrame, tile: int, clip: float) -> DataFrame:
-    """(img, ty, tx, v, to): per tile the level that v becomes after clipped equalisation."""
+    """(img, ty, tx, cy, cx, v, share): per tile its centre and, for each level, the share of its pixels up to that level after
+    clipping. What is clipped is spread evenly over all levels in whole pixels, so a share may end below 1."""
     t = pixels.withColumns({"ty": F.floor(F.col("y") / tile).cast("int"), "tx": F.floor(F.col("x") / tile).cast("int")})
     n = t.groupBy("img", "ty", "tx", "v").agg(F.count("*").alias("n"))
-    tiles = t.groupBy("img", "ty", "tx").agg(F.count("*").alias("size"))
+    middle = lambda axis, k: ((F.col(k) * tile + F.max(axis) + 1) / 2.0).alias(f"c{axis}")
+    tiles = t.groupBy("img", "ty", "tx").agg(F.count("*").alias("size"), middle("y", "ty"), middle("x", "tx"))
     full = tiles.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(255)))).join(n, ["img", "ty", "tx", "v"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    most = F.greatest(F.floor(F.col("size") * clip / 256), F.lit(1))
+    most = F.floor(F.col("size") * clip / 256) if clip > 0 else F.col("size")
     whole = Window.partitionBy("img", "ty", "tx")
     excess = F.sum(F.greatest(F.col("n") - most, F.lit(0))).over(whole)
     even = full.withColumn("m", F.least(F.col("n"), most) + F.floor(excess / 256))
     up = F.sum("m").over(whole.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    return even.withColumn("c", up).withColumn("all", F.sum("m").over(whole)).select("img", "ty", "tx", "v", F.floor(F.col("c") * 255 / F.greatest(F.col("all"), F.lit(1))).cast("int").alias("to"))
+    return even.select("img", "ty", "tx", "cy", "cx", "v", (up / F.col("size")).alias("share"))
 
 
 def clahe(pixels: DataFrame, tile: int = 4, clip: float = 40.0) -> DataFrame:
-    """(img, y, x, v): local equalisation; a pixel blends the maps of its tile and the tiles around it by inverse distance to their centres."""
+    """(img, y, x, v): local equalisation; a pixel blends the shares of its tile and the tiles around it by inverse distance to their centres (1 at least)."""
     maps = clahe_maps(pixels, tile, clip)
     near = pixels.withColumn("o", F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))))
     near = near.withColumns({"ty": (F.floor(F.col("y") / tile) + F.col("o.dy")).cast("int"), "tx": (F.floor(F.col("x") / tile) + F.col("o.dx")).cast("int")})
-    d = F.greatest(F.sqrt(F.pow(F.col("y") - (F.col("ty") + 0.5) * tile, 2) + F.pow(F.col("x") - (F.col("tx") + 0.5) * tile, 2)), F.lit(1.0))
-    both = near.join(maps, ["img", "ty", "tx", "v"]).withColumn("d", 1 / d)
-    return both.groupBy("img", "y", "x").agg(F.floor(F.round(F.sum(F.col("to") * F.col("d")) / F.sum("d"), 6)).cast("int").alias("v"))
+    both = near.join(maps, ["img", "ty", "tx", "v"]).withColumn("d", 1 / F.greatest(F.sqrt(F.pow(F.col("y") - F.col("cy"), 2) + F.pow(F.col("x") - F.col("cx"), 2)), F.lit(1.0)))
+    level = F.sum(F.col("share") * F.col("d")) / F.sum("d") * 255
+    return both.groupBy("img", "y", "x").agg(F.round(F.least(F.lit(255.0), F.greatest(F.lit(0.0), level)), 6).alias("v"))
 
 
 def looks_handwritten(pixels: DataFrame) -> DataFrame:

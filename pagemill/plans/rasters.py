@@ -287,7 +287,13 @@ def mdl_inputs(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query()
+@query(
+    f"""{_PX}, ct AS (SELECT img, y // 4 AS ty, x // 4 AS tx, v, count(*) AS n FROM px GROUP BY ALL), tl AS (SELECT img, y // 4 AS ty, x // 4 AS tx, count(*) AS size, (min(y) + max(y) + 1) / 2.0::DOUBLE AS cy, (min(x) + max(x) + 1) / 2.0::DOUBLE AS cx FROM px GROUP BY ALL),
+lv AS (SELECT tl.*, g.v, coalesce(ct.n, 0) AS n, floor(size * 40 / 256) AS most FROM tl CROSS JOIN (SELECT unnest(range(256)) AS v) g LEFT JOIN ct ON ct.img = tl.img AND ct.ty = tl.ty AND ct.tx = tl.tx AND ct.v = g.v),
+sp AS (SELECT *, floor(sum(greatest(n - most, 0)) OVER (PARTITION BY img, ty, tx) / 256) AS more FROM lv), mp AS (SELECT *, sum(least(n, most) + more) OVER (PARTITION BY img, ty, tx ORDER BY v) / size AS share FROM sp),
+nb AS (SELECT px.img, y, x, share, 1 / greatest(sqrt((y - cy) * (y - cy) + (x - cx) * (x - cx)), 1.0::DOUBLE) AS d FROM px JOIN mp ON mp.img = px.img AND mp.v = px.v AND abs(mp.ty - y // 4) <= 1 AND abs(mp.tx - x // 4) <= 1)
+SELECT img, y, x, round(least(255, greatest(0, sum(share * d) / sum(d) * 255)), 6) AS v FROM nb GROUP BY img, y, x"""
+)
 def ras_clahe(spark: SparkSession, d: str) -> DataFrame:
     return R.clahe(pixels(spark, d))
 

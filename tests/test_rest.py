@@ -115,30 +115,28 @@ def test_bands_and_parts_unite(spark):
     assert [tuple(r)[1:] for r in R.merge_adjacent(parts).orderBy("x").collect()] == [(0, 0, 60, 22, 1), (100, 0, 20, 20, 1), (125, 0, 20, 20, 0), (150, 0, 20, 40, 0)]
 
 
-def test_clahe(spark):
-    rng, tile, clip = random.Random(6), 4, 40.0
-    px = [[rng.choice([3, 90, 91, 200]) for _ in range(8)] for _ in range(8)]
+@pytest.mark.parametrize("clip", [8.0, 40.0, 300.0])
+def test_clahe(spark, clip):
+    """Clipped counts over the pixels of the tile, centres of cut tiles where they are, a blend without rounding."""
+    rng, tile, wide, high = random.Random(6), 4, 10, 7
+    px = [[rng.choice([3, 90, 90, 90, 91, 200]) for _ in range(wide)] for _ in range(high)]
     maps = {}
-    for ty in range(2):
-        for tx in range(2):
-            h = [0] * 256
-            for y in range(4):
-                for x in range(4):
-                    h[px[ty * 4 + y][tx * 4 + x]] += 1
-            most = max(int(16 * clip / 256), 1)
-            excess = sum(max(n - most, 0) for n in h) // 256
-            h = [min(n, most) + excess for n in h]
-            maps[ty, tx] = [sum(h[: v + 1]) * 255 // max(sum(h), 1) for v in range(256)]
-    rows = [(1, y, x, px[y][x]) for y in range(8) for x in range(8)]
+    for y0 in range(0, high, tile):
+        for x0 in range(0, wide, tile):
+            y1, x1 = min(y0 + tile, high), min(x0 + tile, wide)
+            inside = [px[y][x] for y in range(y0, y1) for x in range(x0, x1)]
+            most = int(clip * len(inside) / 256)
+            counts = [inside.count(v) for v in range(256)]
+            spread = sum(max(n - most, 0) for n in counts) // 256
+            counts = [min(n, most) + spread for n in counts]
+            maps[y0 // tile, x0 // tile] = ((y0 + y1) / 2, (x0 + x1) / 2, [sum(counts[: v + 1]) / len(inside) for v in range(256)])
+    rows = [(1, y, x, px[y][x]) for y in range(high) for x in range(wide)]
     got = {(r["y"], r["x"]): r["v"] for r in R.clahe(spark.createDataFrame(rows, "img int, y int, x int, v int"), tile, clip).collect()}
-    for y in range(8):
-        for x in range(8):
-            num = den = 0.0
-            for (ty, tx), m in maps.items():
-                if abs(ty - y // 4) <= 1 and abs(tx - x // 4) <= 1:
-                    w = 1 / max(((y - (ty + 0.5) * 4) ** 2 + (x - (tx + 0.5) * 4) ** 2) ** 0.5, 1.0)
-                    num, den = num + m[px[y][x]] * w, den + w
-            assert got[y, x] == int(round(num / den, 6))
+    for _, y, x, v in rows:
+        near = [m for (ty, tx), m in maps.items() if abs(ty - y // tile) <= 1 and abs(tx - x // tile) <= 1]
+        weights = [1 / max(1.0, ((y - cy) ** 2 + (x - cx) ** 2) ** 0.5) for cy, cx, _ in near]
+        want = sum(share[v] * w for (_, _, share), w in zip(near, weights)) / sum(weights) * 255
+        assert got[y, x] == pytest.approx(min(255.0, max(0.0, want)), abs=1e-5)
 
 
 def test_otsu_default(spark):

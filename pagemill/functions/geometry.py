@@ -109,14 +109,26 @@ def clipped(pixels: DataFrame, paths: DataFrame) -> DataFrame:
     return inside.select("img", (F.col("x") - F.col("x0")).alias("x"), (F.col("y") - F.col("y0")).alias("y"), F.when(F.col("within"), F.col("v")).otherwise(255).alias("v"))
 
 
-def homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
-    """The 3x3 matrix that takes four points to four others; None where no such matrix exists."""
+def homography(src: np.ndarray, dst: np.ndarray, strict_compat: bool = False) -> np.ndarray | None:
+    """The 3x3 matrix that takes four points to four others; None where no such matrix exists.
+
+    With strict_compat rows of the system are never exchanged, and a vanishing pivot means None. As the second row begins
+    with three zeros, that is so for every system; nothing in the original calls it, so here it is not the default.
+    """
     rows, right = [], []
     for (x, y), (u, v) in zip(src, dst):
         rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y], [0, 0, 0, x, y, 1, -v * x, -v * y]]
         right += [u, v]
+    left, right = np.array(rows, float), np.array(right, float)
+    if strict_compat:
+        both = np.column_stack((left, right))
+        for k in range(len(both)):
+            if abs(both[k, k]) < GUARD:
+                return None
+            both[k + 1 :] -= np.outer(both[k + 1 :, k] / both[k, k], both[k])
+        left, right = np.triu(both[:, :-1]), both[:, -1]
     try:
-        return np.append(np.linalg.solve(np.array(rows, float), np.array(right, float)), 1.0).reshape(3, 3)
+        return np.append(np.linalg.solve(left, right), 1.0).reshape(3, 3)
     except np.linalg.LinAlgError:
         return None
 

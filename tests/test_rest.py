@@ -104,6 +104,14 @@ def test_models_are_put_in(spark):
     assert M.text_detector(images, lambda: lambda x: x[:, 0]).select("w", "h").distinct().collect() == [(32, 32)]
 
 
+def test_homography_without_exchanges():
+    src, dst = np.array([[3, 1], [9, 2], [10, 8], [1, 7.0]]), np.array([[0, 0], [6, 0], [6, 5], [0, 5.0]])
+    m = G.homography(src, dst)
+    got = (m @ np.column_stack((src, np.ones(4))).T).T
+    assert np.allclose(got[:, :2] / got[:, 2:], dst)
+    assert G.homography(src, dst, strict_compat=True) is None and G.homography(src[[0, 0, 0, 0]], dst) is None
+
+
 def test_resampling_keeps_flat_images():
     assert np.allclose(R.resampled(np.full((5, 7, 3), 9), 4, 6), 9)
 

@@ -188,6 +188,15 @@ def test_normal_forms(spark):
     assert got == {1: "frac é x", 2: "frac é x", 3: None, 4: ""}
 
 
+def test_normal_forms_of_many_values_and_nulls(spark):
+    """More distinct values in a task than are kept, with nulls and plain values behind them."""
+    odd = F.concat(F.lit("É "), F.col("id").cast("string"))
+    df = spark.range(102_000, numPartitions=1).withColumn("text", F.when(F.col("id") % 1000 == 998, F.lit("A")).when(F.col("id") % 1000 != 999, odd))
+    got = lookalikes.normalised(df, "text")
+    want = F.when(F.col("id") % 1000 == 998, F.lit("a")).when(F.col("id") % 1000 != 999, F.lower(odd))
+    assert got.count() == 102_000 and got.where(~F.col("normal").eqNullSafe(want)).count() == 0
+
+
 def test_odd_records(spark):
     df = spark.createDataFrame([(1, "a​"), (1, "a​"), (2, "a"), (3, None), (4, "x" * 100_000 + " ")], "id bigint, t string")
     assert sorted(map(tuple, lookalikes.odd_records({"h": (df, "id", "t")}).collect())) == [("h", 1, ["invisible"]), ("h", 4, ["space"])]

@@ -255,6 +255,14 @@ def test_scans_of_nothing(spark):
     assert noise.found().count() == 0 and noise.repaired().count() == 0
 
 
+def test_values_of_many_texts(spark):
+    """More distinct texts in a task than are kept in normal form, with plain ones behind them."""
+    n = 102_000
+    texts = spark.range(n, numPartitions=1).select(F.col("id").alias("img"), F.when(F.col("id") % 1000 == 999, F.lit("A matrix.")).otherwise(F.concat(F.lit("É "), F.col("id").cast("string"))).alias("text"))
+    got = scans.values_of(None, texts).select("rec", F.col("lines")[0].alias("line"))
+    assert got.count() == n and got.join(texts, (F.col("rec") == F.col("img")) & (F.col("line") == F.col("text"))).count() == n
+
+
 def test_scans_across_blocks_and_formulas(spark):
     """A word split at the end of a block, or before a formula, goes on behind it; rows may lie in any order."""
     rng = random.Random(17)

@@ -48,6 +48,18 @@ def test_cut_sample_has_no_favourite_text(spark, monkeypatch):
     assert 0.2 < shares[0] < 0.5
 
 
+def test_cut_limits_come_from_all_values(spark, monkeypatch):
+    """A source so rare that a sample holds too few of its values for a limit."""
+    rng = random.Random(3)
+    rows = [("history", "a", k, 0, f"This gives $x={k}$. {sentence(rng, rng.randrange(4, 20))}") for k in range(900)]
+    rows += [("history", "b", 2000 + k, 0, sentence(rng, 20)[:62].rstrip()[:60]) for k in range(12)]
+    known, small = [], cuts.small
+    monkeypatch.setattr(cuts, "small", lambda df, *more: known.append(df) or small(df, *more))
+    cuts.scored(spark.createDataFrame(rows, "tbl string, src string, key1 bigint, key2 bigint, text string"), sample=150)
+    limits = next(df for df in known if "distance" in df.columns)
+    assert limits.where("s = 'b' and l = 60 and distance = 0").count() == 1
+
+
 def test_cut_balances():
     def by_hand(t):
         out, k = [0] * 6, 0

@@ -14,14 +14,14 @@ No window ever holds a whole image: lines are ordered within blocks of the page
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.lookalikes import normalised
-from pagemill.session import small, written
+from pagemill.session import dropped, small, written
 
 # What a scanner reads (left) for what stands there (right).
 CONFUSIONS = [
@@ -219,15 +219,18 @@ def header_keys(named: DataFrame, pages: DataFrame) -> DataFrame:
     return counted.where(enough("n")).select("doc", "key").unionByName(pairs.join(joint, ["doc", "seed"], "left_semi").select("doc", "key")).distinct()
 
 
-def furniture(edges: DataFrame, pages: DataFrame) -> DataFrame:
-    """(tbl, rec, top, noise): page numbers and headers among the edge lines. pages: doc, pages.
+def furniture(edges: DataFrame, pages: DataFrame, spent: Iterable[DataFrame] = ()) -> DataFrame:
+    """(tbl, rec, top, noise): page numbers and headers among the edge lines. pages: doc, pages. spent: written tables that
+    only edges still reads; they are dropped.
 
     A page number may stand within headers; in a document at least two pages must show the same step from page to
     number, unless the form is sure or the document has fewer than two numbered pages.
     """
     at_edge = written(edges.mapInPandas(_edge_marks, _EDGE_ROW), "scan-edges")
+    dropped(*spent)
     keys = small(written(header_keys(at_edge.where("doc is not null and key <> ''").select("doc", "page", "key"), pages), "scan-headers"))
     marked = written(at_edge.join(keys.withColumn("header", F.lit(True)), ["doc", "key"], "left").where("header or number is not null").withColumn("header", F.coalesce("header", F.lit(False))), "scan-marked")
+    dropped(at_edge)
     w = Window.partitionBy("tbl", "img")
     # Headers outside a line: if they are all that lies there, the line is outermost.
     within = lambda place: F.coalesce(F.sum(F.col("header").cast("int")).over(w.orderBy(place).rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)) == F.col(place) - 1
@@ -314,24 +317,26 @@ class ScanNoise:
     def __init__(self, regions: DataFrame | None, mixed: DataFrame | None, texts: DataFrame | None) -> None:
         self.regions, self.mixed, self.texts = regions, mixed, texts
         paged = None
-        lines, edges = [], []
+        lines, edges, spent = [], [], []
         if mixed is not None:
             paged = mixed.where("img is not null and doc is not null and page is not null").groupBy(F.col("img").cast("bigint").alias("img")).agg(F.min(F.struct(F.col("doc").cast("bigint").alias("doc"), F.col("page").cast("bigint").alias("page"))).alias("p")).select("img", "p.*")
             paged = written(paged, "scan-pages")
         if regions is not None:
             rows = written(_region_lines(regions), "scan-regions")
+            spent.append(rows)
             several = small(rows.where("block <> 0").select("img").distinct())
             lines.append(_stitched(rows, several))
             edges.append(_region_edges(rows, several, small(paged) if paged is not None else None))
         values = values_of(mixed, texts)
         if values is not None:
             values = written(values, "scan-values")
+            spent.append(values)
             lines.append(_value_lines(values))
             edges.append(_value_edges(values))
         union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         self.lines = written(self._words(union(lines)), "scan-lines")
         pages = paged.groupBy("doc").agg(F.countDistinct("page").alias("pages")) if paged is not None else self.lines.sparkSession.createDataFrame([], "doc bigint, pages bigint")
-        self.furniture = written(furniture(union(edges), pages), "scan-furniture")
+        self.furniture = written(furniture(union(edges), pages, spent), "scan-furniture")
         singles = self.lines.select(F.explode("words").alias("a")).where("a <> ''").groupBy("a").count()
         compounds = self.lines.select(F.explode("compounds").alias("a")).groupBy("a").count()
         halves = singles.select(F.lower("a").alias("word"), "a", "count").unionByName(compounds.select(F.lower("a").alias("word"), F.lit(None).cast("string").alias("a"), "count"))

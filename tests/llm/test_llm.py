@@ -1,5 +1,6 @@
 """Operators for training text on small cases, against brute force or with known truth."""
 
+import os
 import random
 import re
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.llm import copies, cuts, garbled, leaks, lookalikes, mixing, queries, scans
+from pagemill.session import shared_dir
 
 WORDS = "matrix vector number system modern formula integral light window table graph circle number paper signal kernel border orbit lemma basis".split()
 
@@ -275,6 +277,17 @@ def test_values_of_many_texts(spark):
     assert got.count() == n and got.join(texts, (F.col("rec") == F.col("img")) & (F.col("line") == F.col("text"))).count() == n
 
 
+def test_scans_drop_tables_that_no_result_reads(spark):
+    regions = spark.createDataFrame([(n, n // 4, 0, n % 4 * 40, "text", f"A line of number {n}") for n in range(40)], "region_id bigint, img bigint, x int, y int, type string, text string")
+    mixed = spark.createDataFrame([(n, 1, n, "- 7 -\nA line of\nÉcole") for n in range(10)], "img bigint, doc bigint, page int, formatted_text string")
+    there = lambda: set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    before = there()
+    noise = scans.ScanNoise(regions, mixed, None)
+    left = {n.rsplit("-", 1)[0] for n in there() - before}
+    assert "scan-lines" in left and not left & {"scan-regions", "scan-values", "scan-edges"}
+    assert {r["noise"] for r in noise.found().collect()} == {"pageno", "header"} and noise.repaired().count() == 50
+
+
 def test_scans_across_blocks_and_formulas(spark):
     """A word split at the end of a block, or before a formula, goes on behind it; rows may lie in any order."""
     rng = random.Random(17)
